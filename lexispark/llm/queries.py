@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .rules import quality_rules
+from .shards import SHARD_BYTES, shard_documents, text_bytes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +17,41 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("n_bytes", text_bytes())
+    return shard_documents(docs).select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_oversize")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_extendible_sharding": op5_extendible_sharding,
+    "op10_quality_rules": op10_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
+def sharding_sql(limit: int) -> str:
+    """DuckDB SQL for op5 at a byte limit: the shallowest hash prefix that fits or cannot be split."""
+    return f"""
+WITH keyed AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+levels AS (SELECT r, doc_id, n_bytes, h, d AS depth, h >> (60 - d) AS prefix FROM keyed, (SELECT unnest(range(0, 61))::INTEGER AS d)),
+sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(DISTINCT h) AS hashes FROM levels GROUP BY ALL),
+fits AS (SELECT r, levels.doc_id, n_bytes, depth, prefix, shard_bytes,
+    row_number() OVER (PARTITION BY r ORDER BY depth) AS k
+  FROM levels JOIN sums USING (depth, prefix) WHERE shard_bytes <= {limit} OR hashes = 1)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '-' ELSE lpad(bin(prefix), depth, '0') END AS shard_id,
+  depth AS shard_depth, shard_bytes, shard_bytes > {limit} AS shard_oversize
+FROM fits WHERE k = 1
+"""
+
+
 ORACLES = {
+    "op5_extendible_sharding": sharding_sql(SHARD_BYTES),
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
