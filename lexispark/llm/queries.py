@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
 from .minhash import near_duplicates
 from .rules import quality_rules
 from .shards import SHARD_BYTES, shard_documents, text_bytes
@@ -22,12 +24,18 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs).select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_oversize")
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = plan_mix(_read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op5_extendible_sharding": op5_extendible_sharding,
+    "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
@@ -75,5 +83,47 @@ reach AS (
 comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN comps ON a = doc_id
+""",
+    "op9_mix_sources": rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight
+  FROM sized GROUP BY source),
+steep AS (SELECT *, 2 * source_size AS cap, (2 * source_size)::DOUBLE / weight AS steep FROM sources),
+filled AS (
+  SELECT *, row_number() OVER o AS pos,
+    (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0)::DOUBLE)
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM steep WINDOW o AS (ORDER BY steep, source NULLS LAST),
+    b AS (ORDER BY steep, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size,
+    least(cap::DOUBLE, coalesce(weight * (SELECT arg_min(level, pos) FROM filled WHERE steep >= level), cap)::DOUBLE) AS target,
+    len(list_filter(range(0, {BLOCK_BITS}), lambda k : {BLOCK_WORDS}::BIGINT * (1::BIGINT << k) < source_size)) AS bits
+  FROM filled),
+placed AS (
+  SELECT s.*, t.source_size, t.target, h >> (60 - bits)::INTEGER AS block
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+blocks AS (
+  SELECT source, block, source_size, target, sum(size) AS words FROM placed GROUP BY ALL),
+ends AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY block) AS upto FROM blocks),
+quotas AS (
+  SELECT *, upto - words AS low, least(target, source_size::DOUBLE) AS q0,
+    least(greatest(target - source_size, 0), source_size::DOUBLE) AS q1 FROM ends),
+takes AS (
+  SELECT source, block, (q0 > 0 AND upto <= q0)::INTEGER + (q1 > 0 AND upto <= q1)::INTEGER AS n,
+    CASE WHEN low < q1 AND q1 < upto THEN q1 - low WHEN low < q0 AND q0 < upto THEN q0 - low END AS part
+  FROM quotas),
+docs AS (
+  SELECT p.*, n, part,
+    coalesce(sum(size) OVER (PARTITION BY p.source, p.block ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed p JOIN takes t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block)
+SELECT doc_id, size, source_size, target,
+  (size * (n + CASE WHEN part IS NOT NULL AND 2 * before + size <= 2 * part THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM docs
 """,
 }
