@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, loss_text
 from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
 from .minhash import near_duplicates
+from .passages import dedup_passages
 from .rules import quality_rules
 from .shards import SHARD_BYTES, shard_documents, text_bytes
 
@@ -15,6 +17,25 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(_read(spark, sf_dir, "documents"))
+
+
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    done = format_conversations(rows.unionByName(extra))
+    loss = loss_text(F.col("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
@@ -34,6 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
@@ -125,5 +148,16 @@ docs AS (
 SELECT doc_id, size, source_size, target,
   (size * (n + CASE WHEN part IS NOT NULL AND 2 * before + size <= 2 * part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM docs
+""",
+    "op6_chat_formatting": rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(regexp_replace(role, '[^\\<#]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + 13)::BIGINT AS formatted_chars
+FROM given GROUP BY conv_id
 """,
 }
