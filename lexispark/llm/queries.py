@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, loss_text
+from .decontaminate import find_leaks
 from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
 from .minhash import near_duplicates
 from .passages import dedup_passages
@@ -17,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op5_extendible_sharding": op5_extendible_sharding,
