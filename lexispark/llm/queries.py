@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, loss_text
 from .decontaminate import find_leaks
+from .langid import identify_languages
 from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
 from .minhash import near_duplicates
 from .passages import dedup_passages
 from .rules import quality_rules
 from .shards import SHARD_BYTES, shard_documents, text_bytes
+from .toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
@@ -63,6 +73,8 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op4_language_id": op4_language_id,
+    "op7_toxicity": op7_toxicity,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
