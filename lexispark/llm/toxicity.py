@@ -1,6 +1,7 @@
 """Toxicity: a sparse logistic classifier that is regularised by counterfactuals.
 
-A text is the set of its hashed lower-case words.  In learning, the identity terms of a sentence
+A text is the set of its hashed lower-case words, and of the stems of its longer words at the
+counts they reach, so that inflected forms are known by what they share.  In learning, the identity terms of a sentence
 are swapped for other terms of their group and the squared change of the score is penalised, so
 that the mention of a group does not move the score by itself.  Weights are learned by
 follow-the-regularised-leader steps with an elastic-net penalty, on a bounded sample.
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, unit_hash
 from .linear import Ftrl, sigmoid
-from .textvec import pieces
+from .textvec import Piece, pieces
 
-BITS = 20
+BITS, STEM, LEVELS = 20, 6, (1, 2, 3, 5)
+FEATURE_BITS = BITS + 3
 MAX_SAMPLE = 16_000
 MIN_DOCS = 4
 EPOCHS = 6
@@ -38,7 +40,9 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("disabled", "blind", "deaf", "elderly", "young", "old"),
 )
-_EDGE = b".,;:!?\"'()[]{}<>*#$%&|~-_"
+_IS_EDGE = np.zeros(256, bool)
+_IS_EDGE[list(b".,;:!?\"'()[]{}<>*#$%&|~-_")] = True
+_IS_EDGE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -54,48 +58,77 @@ def identity_slots() -> list[np.ndarray]:
     return [_slot(_hash_words([t.encode() for t in group])) for group in IDENTITIES]
 
 
-def word_slots(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(row, slot, rows) of the words of each piece of a batch, edge punctuation cut off."""
-    for p in pieces(texts):
-        edge = np.zeros(256, bool)
-        edge[list(_EDGE)] = True
-        for _ in range(8):  # words lose up to 8 edge marks on each side; a word of marks alone loses all
-            live = p.ends > p.starts
-            p.starts = p.starts + (live & edge[p.data[np.minimum(p.starts, len(p.data) - 1)]] if len(p.data) else 0)
-            live = p.ends > p.starts
-            p.ends = p.ends - (live & edge[p.data[np.maximum(p.ends - 1, 0)]] if len(p.data) else 0)
-        full = p.ends > p.starts
-        row = p.row_of_word()[full]
-        p.starts, p.ends = p.starts[full], p.ends[full]
-        yield row, _slot(p.word_hashes(lower=True)), p.rows
+def trimmed(p: Piece) -> np.ndarray:
+    """Cut edge punctuation off the words of a piece, which lose words of marks alone; the rows of the rest."""
+    if not len(p.data):
+        return np.zeros(0, np.int64)
+    inner = np.flatnonzero(~_IS_EDGE[p.data])
+    if not len(inner):
+        p.starts = p.ends = p.starts[:0]
+        return np.zeros(0, np.int64)
+    first = np.searchsorted(inner, p.starts)
+    starts = inner[np.minimum(first, len(inner) - 1)]
+    ends = inner[np.maximum(np.searchsorted(inner, p.ends) - 1, 0)] + 1
+    full = (starts >= p.starts) & (ends <= p.ends) & (ends > starts)
+    row = p.row_of_word()[full]
+    p.starts, p.ends = starts[full], ends[full]
+    return row
+
+
+def features(p: Piece, words: np.ndarray | None = None, stems: np.ndarray | None = None) -> np.ndarray:
+    """The sorted distinct (row << FEATURE_BITS | feature) of a piece.
+
+    Features are the words, and for words of more than STEM bytes their stems, at each of the
+    LEVELS that the stem's count in the text reaches.  With sorted words and stems only those
+    slots are looked at.
+    """
+    row = trimmed(p)
+    word = _slot(p.word_hashes(lower=True))
+    long = p.ends - p.starts > STEM
+    p.starts, p.ends = p.starts[long], p.starts[long] + STEM
+    stem, at = _slot(p.word_hashes(lower=True)), row[long]
+    if words is not None:
+        keep = np.isin(word, words)
+        row, word = row[keep], word[keep]
+    if stems is not None:
+        keep = np.isin(stem, stems)
+        at, stem = at[keep], stem[keep]
+    found = [np.unique((row << FEATURE_BITS) | word)]
+    pair, count = np.unique((at << FEATURE_BITS) | stem, return_counts=True)
+    for k, least in enumerate(LEVELS, 1):
+        found.append(pair[count >= least] + (k << BITS))
+    return np.sort(np.concatenate(found))
 
 
 @dataclass
 class ToxicityModel:
-    slots: np.ndarray  # sorted slots of non-zero weight
+    ids: np.ndarray  # sorted features of non-zero weight
     weights: np.ndarray
     intercept: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        slot, kind = self.ids & ((1 << BITS) - 1), self.ids >> BITS
+        words, stems = slot[kind == 0], np.unique(slot[kind > 0])
         out = []
-        for row, slot, rows in word_slots(texts):
-            z = np.full(rows, self.intercept)
-            if len(self.slots):
-                at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
-                hit = self.slots[at] == slot
-                pair = np.unique(row[hit] * (1 << BITS) + at[hit])
-                np.add.at(z, pair >> BITS, self.weights[pair & ((1 << BITS) - 1)])
+        for p in pieces(texts):
+            z = np.full(p.rows, self.intercept)
+            if len(self.ids):
+                pair = features(p, words, stems)
+                one = pair & ((1 << FEATURE_BITS) - 1)
+                at = np.minimum(np.searchsorted(self.ids, one), len(self.ids) - 1)
+                hit = self.ids[at] == one
+                np.add.at(z, pair[hit] >> FEATURE_BITS, self.weights[at[hit]])
             out.append(sigmoid(z))
         return np.concatenate(out) if out else np.zeros(0)
 
 
 def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = SWAP_PENALTY, seed: int = 3) -> ToxicityModel:
-    """A model from sets of word slots and 0/1 labels; without both labels it scores the base rate."""
+    """A model from sets of features and 0/1 labels; without both labels it scores the base rate."""
     rate = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
     base = float(np.log(rate / (1 - rate)))
     if len(np.unique(toxic)) < 2:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), base)
-    seen = np.bincount(np.concatenate(docs), minlength=1 << BITS)
+    seen = np.bincount(np.concatenate(docs), minlength=1 << FEATURE_BITS)
     groups = identity_slots()
     named = np.unique(np.concatenate(groups))
     use = seen >= MIN_DOCS
@@ -134,18 +167,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
         return learn_toxicity([], np.zeros(0))
     picked = marks.where(unit_hash("doc_id", seed="toxicity") < min(1.0, max_sample / total)).select(F.col("doc_id").alias("id"), "toxic")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
-            for row, slot, rows in word_slots(batch.column("text")):
-                bounds = np.searchsorted(row, np.arange(rows + 1))
-                found += [np.unique(slot[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "slots"])
+            for p in pieces(batch.column("text")):
+                pair = features(p)
+                bounds = np.searchsorted(pair, np.arange(p.rows + 1) << FEATURE_BITS)
+                found += [pair[a:b] & ((1 << FEATURE_BITS) - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "ids"])
 
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = sample.mapInArrow(features, "doc_id long, toxic int, slots array<int>").toPandas()
-    rows = rows.assign(n=rows["slots"].map(len)).sort_values(["doc_id", "n"])
-    return learn_toxicity([np.asarray(s, np.int64) for s in rows["slots"]], (rows["toxic"].to_numpy() > 0).astype(float))
+    rows = sample.mapInArrow(rows_of, "doc_id long, toxic int, ids array<int>").toPandas()
+    rows = rows.assign(n=rows["ids"].map(len)).sort_values(["doc_id", "n"])
+    return learn_toxicity([np.asarray(s, np.int64) for s in rows["ids"]], (rows["toxic"].to_numpy() > 0).astype(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
