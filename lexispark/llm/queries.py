@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, loss_text
+from .cotraining import score_quality
 from .decontaminate import find_leaks
 from .langid import identify_languages
 from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
@@ -43,6 +44,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op3_quality_cotraining": op3_quality_cotraining,
     "op4_language_id": op4_language_id,
     "op7_toxicity": op7_toxicity,
     "op5_extendible_sharding": op5_extendible_sharding,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def _repeated(p: Piece) -> np.ndarray:
     return np.bincount(row[cover], minlength=p.rows)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch.column("text")):
             chars = p.word & ((p.data & 0xC0) != 0x80)
@@ -50,10 +51,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upper = (p.data >= 65) & (p.data <= 90)
             digits = (p.data >= 48) & (p.data <= 57)
             columns = [p.n_words, p.per_row(chars), p.per_row(IS_SYMBOL[p.data]), lines[:, 1], _repeated(p), lines[:, 0], p.per_row(upper), p.per_row(_MARK[p.data]), p.per_row(digits), np.diff(p.offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.rows), *(pa.array(np.asarray(c, np.int64)) for c in columns)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(p.first, p.rows) for c in keep), *(pa.array(np.asarray(c, np.int64)) for c in columns)], [*keep, *COUNTS])
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the COUNTS of each whole text; a null text counts as empty."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+def text_counts(docs: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
+    """The COUNTS of each whole text, after doc_id and the columns of ``keep`` (name: type).
+
+    A null text counts as empty.
+    """
+    kinds = {"doc_id": "long"} | (keep or {})
+    docs = docs.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"{c} {k}" for c, k in [*kinds.items(), *((c, "long") for c in COUNTS)])
+    return docs.mapInArrow(partial(_count, keep=tuple(kinds)), schema)
