@@ -239,3 +239,13 @@ def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return _block(block, percent)
 
     return table(blocks.groupBy("key", "i", "j").applyInArrow(forest, "a long, b long"))
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without those that are near-duplicates of one of smaller doc_id; same columns.
+
+    Rows of null doc_id stay.  Rows that repeat a doc_id go together: all of them as soon as one
+    of their texts has a near-duplicate of smaller doc_id.
+    """
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(table(gone), "doc_id", "left_anti").select(*docs.columns)
