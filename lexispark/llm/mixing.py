@@ -129,11 +129,15 @@ def plan_mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFra
     took = cut.withColumn("took", (2 * before + F.col("size")) <= 2 * F.col("part"))
     took = table(took.groupBy("source", "h").agg(F.sum(F.col("took").cast("int")).alias("n_took")).select(F.col("source").alias("ts"), F.col("h").alias("th"), "n_took"))
 
-    out = keyed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("__b", F.expr(f"shiftright(__h, {BITS} - bits)"))
-    out = out.join(homes, F.col("source").eqNullSafe(F.col("s")) & (F.col("__b") == F.col("b")), "left").drop("s")
-    out = out.join(took, F.col("source").eqNullSafe(F.col("ts")) & (F.col("__h") == F.col("th")), "left")
-    copies = F.expr("transform(filter(coalesce(homes, array()), x -> not x.partial or coalesce(n_took, 0) > 0), x -> named_struct('epoch', x.epoch, 'shard', x.shard))")
-    return out.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
+    # beside the columns of docs, of whatever names, only names of our own
+    named = named.select(F.col("s").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("bits").alias("__bits"))
+    homes = homes.select(F.col("s").alias("__hs"), F.col("b").alias("__hb"), F.col("homes").alias("__homes"))
+    took = took.select(F.col("ts").alias("__ts"), F.col("th").alias("__th"), F.col("n_took").alias("__n_took"))
+    out = keyed.join(named, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__b", F.expr(f"shiftright(__h, {BITS} - __bits)"))
+    out = out.join(homes, F.col("source").eqNullSafe(F.col("__hs")) & (F.col("__b") == F.col("__hb")), "left")
+    out = out.join(took, F.col("source").eqNullSafe(F.col("__ts")) & (F.col("__h") == F.col("__th")), "left")
+    copies = F.expr("transform(filter(coalesce(__homes, array()), x -> not x.partial or coalesce(__n_took, 0) > 0), x -> named_struct('epoch', x.epoch, 'shard', x.shard))")
+    return out.select(*docs.columns, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:

@@ -78,9 +78,9 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     top = math.ceil(math.log2(n)) + 1 if n > 1 else 0
     # the directory: each entry of `top` bits points to its shard, or to the few that lie below it
     slots = F.expr(f"CASE WHEN depth <= {top} THEN sequence(shiftleft(prefix, {top} - depth), shiftleft(prefix + 1, {top} - depth) - 1) ELSE array(shiftright(prefix, depth - {top})) END")
-    entries = shards.withColumn("slot", F.explode(slots)).groupBy("slot").agg(F.collect_list(F.struct("depth", "prefix", "shard_bytes", "oversize")).alias("below"))
+    entries = shards.withColumn("__slot", F.explode(slots)).groupBy("__slot").agg(F.collect_list(F.struct("depth", "prefix", "shard_bytes", "oversize")).alias("__below"))
     keyed = docs.withColumn("__h", hash_bits())
-    found = keyed.join(table(entries), _prefix("__h", top) == F.col("slot"), "left")
-    mine = found.withColumn("__s", F.expr(f"filter(below, x -> shiftright(__h, {BITS} - x.depth) = x.prefix)[0]"))
+    found = keyed.join(table(entries), _prefix("__h", top) == F.col("__slot"), "left")
+    mine = found.withColumn("__s", F.expr(f"filter(__below, x -> shiftright(__h, {BITS} - x.depth) = x.prefix)[0]"))
     name = F.expr("CASE WHEN __s.depth = 0 THEN '-' ELSE lpad(bin(__s.prefix), __s.depth, '0') END")
     return mine.select(*docs.columns, name.alias("shard_id"), F.col("__s.depth").alias("shard_depth"), F.col("__s.shard_bytes").alias("shard_bytes"), F.col("__s.oversize").alias("shard_oversize"))
