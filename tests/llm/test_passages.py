@@ -1,0 +1,78 @@
+import random
+
+from helpers import docs, odd_rows, sentence, vocabulary
+
+from lexispark.llm.passages import dedup_passages, merged, units
+
+
+def brute(rows):
+    """The text that stays, by a plain walk over all units in rank order."""
+    order = sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    seen, gone = {}, {}
+    for doc, text in order:
+        for start, end, digest in units(text):
+            if seen.setdefault(digest, (doc, text, start)) != (doc, text, start):
+                gone.setdefault((doc, text), []).append((start, end))
+    out = []
+    for r in rows:
+        text = r[1]
+        for a, b in reversed(merged(gone.get(r[:2], []))):
+            text = text[:a] + text[b:]
+        out.append((str(r[0]), text or ""))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((str(r.doc_id), r.text or "") for r in df.collect())
+
+
+def corpus():
+    rng, words = random.Random(2), vocabulary(2)
+    shared = [sentence(rng, rng.randint(6, 25), words).capitalize() + "." for _ in range(12)]
+    passage = " ".join(sentence(rng, 14, words).capitalize() + "." for _ in range(5))
+    rows = []
+    for n in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 6)):
+            line = " ".join(sentence(rng, rng.randint(1, 12), words).capitalize() + rng.choice([".", "!", "?"]) for _ in range(rng.randint(1, 4)))
+            lines.append(rng.choice([line, rng.choice(shared), line + " " + rng.choice(shared) + " " + line.lower(), rng.choice(shared).upper() + "  "]))
+        if n % 5 == 0:
+            lines[0] = "Own words lead into it, " + passage + " and own words follow"
+        rows.append((n, "\n".join(lines)))
+    return rows, passage
+
+
+def test_matches_brute_force(spark):
+    rows, passage = corpus()
+    out = dedup_passages(docs(spark, rows, extra=True))
+    assert found(out) == brute(rows)
+    texts = {r.doc_id: r for r in out.collect()}
+    for n, text in rows:
+        r = texts[n]
+        pieces, at = [], 0
+        kept = r.text
+        for s in r.removed:  # original offsets put the text together again
+            pieces += [kept[: s.start - at], text[s.start : s.end]]
+            kept, at = kept[s.start - at :], s.end
+        assert "".join(pieces) + kept == text and r.removed_chars == len(text) - len(r.text)
+    tail = passage.split(". ", 1)[1]
+    assert tail in texts[0].text and all(tail not in texts[n].text for n in range(5, 60, 5))
+
+
+def test_first_rank_stays_and_clean_text_is_left_alone(spark):
+    line = "this line has been seen before"
+    rows = [(3, f"alpha beta gamma\n{line}"), (1, f"{line}\ndelta epsilon zeta"), (2, f"eta theta iota\n{line.upper()}  \nkappa lambda mu")]
+    got = {r.doc_id: r.text for r in dedup_passages(docs(spark, rows)).collect()}
+    assert got == {1: rows[1][1], 3: "alpha beta gamma\n", 2: "eta theta iota\nkappa lambda mu"}
+
+
+def test_odd_input(spark):
+    rows = odd_rows() + [(20, "a row without an id"), (21, "two words\ntwo words"), (22, "one line here\none line here")]
+    out = dedup_passages(docs(spark, rows))
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[1][0].text is None and by[2][0].text == "" and [r.text for r in by[6]] == ["same text here"] * 2
+    assert by[None][0].text == "" and by[20][0].text == "a row without an id"
+    assert by[21][0].n_removed == 0 and by[22][0].text == "one line here\n"
+    assert dedup_passages(docs(spark, [])).count() == 0

@@ -1,0 +1,54 @@
+from collections import Counter
+
+import pytest
+from helpers import docs, odd_rows
+from test_decontaminate import QUESTION
+from test_langid_and_toxicity import corpus
+
+import corpus_pipeline as pipeline
+
+
+def test_stages():
+    assert [n for n, _ in pipeline.STAGES] == ["language_id", "minhash_near_dedup", "benchmark_decontamination", "source_mixing", "sharding"]
+    assert pipeline.ORACLE_SQL is None
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("sf"))
+    rows = [(r[0], r[1] + f" tail{r[0]} end{r[0] * 7}", r[2], f"s{r[0] % 4}") for r in corpus(5, 150)]
+    rows += [(1000, rows[3][1], "en", "s1"), (1001, None, "en", "s1"), (1002, "### !!!", "en", "s2"), (1003, "the house of light and water. " + QUESTION, "en", "s3")]
+    docs(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_each_decision_takes_effect(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = [{r.doc_id for r in df.collect()}]
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, df, sf_dir)
+        if k < 4:
+            assert out.columns == df.columns
+        df = pipeline.table(out)
+        seen.append({r.doc_id for r in df.collect()})
+    assert seen[0] - seen[1] == {1001, 1002}
+    assert 1000 in seen[1] - seen[2] and 3 in seen[2]
+    assert seen[2] - seen[3] == {1003}
+    assert Counter(r.doc_id for r in df.collect()).most_common(1)[0][1] <= 2 and "shard_id" in df.columns
+
+
+def test_run_equals_the_stages(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        df = pipeline.table(stage(spark, df, sf_dir))
+    key = lambda f: sorted((r.doc_id, r.text, r.shard_id) for r in f.collect())
+    assert key(pipeline.run(spark, sf_dir)) == key(df)
+
+
+def test_stages_take_odd_and_empty_input(spark, sf_dir):
+    for rows in ([], odd_rows()):
+        for _, stage in pipeline.STAGES:
+            out = stage(spark, docs(spark, rows, extra=True), sf_dir)
+            assert out.count() <= 2 * len(rows) and set(pipeline.COLUMNS) <= set(out.columns)
+            assert not rows or stage is not pipeline.sharded or out.count() == len(rows)
