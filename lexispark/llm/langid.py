@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table, unit_hash
+from .common import crc_bucket, unit_hash
 from .linear import Ftrl, softmax, temperature
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
-MAX_PER_LANGUAGE = 600
+MAX_PER_LANGUAGE = 400
 EPOCHS = 4
+#: A document is kept when its score is so many times that of a guess among the languages.
+LEAST_LIFT = 1.1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint32(0x9E3779B1)
@@ -110,8 +112,8 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
         return LanguageModel([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
     truth = np.searchsorted(np.array(languages, object), sample["lang"].to_numpy())
     held = sample["spot"].to_numpy() * 1e4 % 1 < 0.2
-    ids = [np.append(a, BUCKETS).astype(int) for a in sample["at"]]
-    values = [np.append(v, 1.0) for v in sample["v"]]
+    ids = [np.append(a, BUCKETS).astype(np.int32) for a in sample.pop("at")]
+    values = [np.append(v, 1).astype(np.float32) for v in sample.pop("v")]
     model = Ftrl(BUCKETS + 1, len(languages), alpha=1.0, l1=0.02, l2=0.01)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -125,14 +127,18 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
     return LanguageModel([str(x) for x in languages], idf, w, temperature(logits, truth[held]))
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score, from the whole text alone; columns of these names are replaced."""
+def prediction(model: LanguageModel) -> Column:
+    """A struct of lang_pred and score from the whole of column text."""
+
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.score(t) for t in texts], columns=["lang_pred", "score"])
 
-    docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("__p", predict(F.col("text").cast("string"))).select(*docs.columns, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+    return predict(F.col("text").cast("string"))
+
+
+def _held_out() -> Column:
+    return F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
 
 
 def identify_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> DataFrame:
@@ -143,12 +149,17 @@ def identify_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) ->
     null doc_id is scored, not learned from, and not held out.  Rows that repeat are scored
     alike.  No rows give no rows.  lang, source and doc_id never enter a prediction.
     """
-    held = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
-    model = fit_language_model(docs, F.col("doc_id").isNotNull() & ~held, per_language)
-    return predict_languages(docs.withColumn("held_out", held), model)
+    model = fit_language_model(docs, F.col("doc_id").isNotNull() & ~_held_out(), per_language)
+    out = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", _held_out())
+    return out.withColumn("__p", prediction(model)).select(*out.columns, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs without those whose language is unknown or scored below ``least``; same columns."""
-    scored = identify_languages(docs)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+def keep_known_languages(docs: DataFrame, lift: float = LEAST_LIFT) -> DataFrame:
+    """docs without those whose language is unknown or scored under ``lift`` times chance; same columns.
+
+    Short texts are scored low without being wrong, so the bar is low.  Where nothing could be
+    learned, every language is unknown and no row stays.
+    """
+    model = fit_language_model(docs, F.col("doc_id").isNotNull() & ~_held_out())
+    found = docs.withColumn("__p", prediction(model))
+    return found.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= lift / max(1, len(model.languages)))).select(*docs.columns)
