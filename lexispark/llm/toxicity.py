@@ -9,7 +9,6 @@ follow-the-regularised-leader steps with an elastic-net penalty, on a bounded sa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +57,9 @@ def identity_slots() -> list[np.ndarray]:
     return [_slot(_hash_words([t.encode() for t in group])) for group in IDENTITIES]
 
 
+IDENTITY_SLOTS = np.unique(np.concatenate(identity_slots()))
+
+
 def trimmed(p: Piece) -> np.ndarray:
     """Cut edge punctuation off the words of a piece, which lose words of marks alone; the rows of the rest."""
     if not len(p.data):
@@ -79,12 +81,13 @@ def features(p: Piece, words: np.ndarray | None = None, stems: np.ndarray | None
     """The sorted distinct (row << FEATURE_BITS | feature) of a piece.
 
     Features are the words, and for words of more than STEM bytes their stems, at each of the
-    LEVELS that the stem's count in the text reaches.  With sorted words and stems only those
+    LEVELS that the stem's count in the text reaches; identity terms have no stem, so that a swap
+    leaves nothing of them.  With sorted words and stems only those
     slots are looked at.
     """
     row = trimmed(p)
     word = _slot(p.word_hashes(lower=True))
-    long = p.ends - p.starts > STEM
+    long = (p.ends - p.starts > STEM) & ~np.isin(word, IDENTITY_SLOTS)
     p.starts, p.ends = p.starts[long], p.starts[long] + STEM
     stem, at = _slot(p.word_hashes(lower=True)), row[long]
     if words is not None:
