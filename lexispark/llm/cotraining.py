@@ -122,8 +122,8 @@ def _matrices(rows) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001  a pandas
     n = len(rows)
     content = np.array(rows["content"].tolist(), float).reshape(n, len(FEATURES))
     layout = np.array(rows["layout"].tolist(), float).reshape(n, 3)
-    source = np.eye(SOURCE_BUCKETS + 1)[rows["source_bucket"].to_numpy(int)].reshape(n, -1)
-    lang = np.eye(LANG_BUCKETS + 1)[rows["lang_bucket"].to_numpy(int)].reshape(n, -1)
+    source = np.eye(SOURCE_BUCKETS + 1)[rows["source_bucket"].to_numpy(int)].reshape(n, SOURCE_BUCKETS + 1)
+    lang = np.eye(LANG_BUCKETS + 1)[rows["lang_bucket"].to_numpy(int)].reshape(n, LANG_BUCKETS + 1)
     return content, np.hstack([layout, source, lang])
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 LONG_WORD = 64
 
 IS_SPACE = np.zeros(256, bool)
