@@ -157,7 +157,8 @@ def index_report(posts: DataFrame, lengths: DataFrame, terms: DataFrame) -> Data
     """One row: documents, tokens, unique terms (summed over shards and fields), postings, high-df terms."""
     docs = lengths.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("num_tokens"))
     words = terms.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("num_postings"), F.count(F.when(F.col("is_high_df"), 1)).alias("num_high_df_terms"))
-    return docs.join(words)  # one row by one row
+    one = F.lit(1).alias("one")
+    return docs.select("*", one).join(words.select("*", one), "one").drop("one")
 
 
 def posting_gaps(posts: DataFrame) -> DataFrame:

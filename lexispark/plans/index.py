@@ -17,6 +17,7 @@ from ..sources import from_documents, read_corpus
 from ..storage import shared_path
 
 TABLES = ("corpus", "postings", "doc_stats", "term_stats", "shard_stats", "champions")
+BROADCAST_ROWS = 100_000
 QUERY_TERMS = "query_id long, position int, field int, term string"
 
 
@@ -168,7 +169,9 @@ class SearchIndex:
     def search_records(self, query: str | Sequence[str] | Mapping[str, str] | None, **options: Any) -> DataFrame:
         """The columns of the source of the k best documents, with score, best first."""
         found = self.search(query, **options)
-        joined = self.corpus.drop("shard", "score").join(F.broadcast(found), "doc_id")  # k rows
+        if options.get("k", 10) <= BROADCAST_ROWS:  # at most k rows
+            found = F.broadcast(found)
+        joined = self.corpus.drop("shard", "score").join(found, "doc_id")
         return joined.orderBy(F.desc("score"), "doc_id")
 
     def query_terms(self, queries: DataFrame) -> DataFrame:
