@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
 A unit is a line of ``MIN_LINE_WORDS`` words or more, or a sentence of ``MIN_SENTENCE_WORDS``
-words or more inside a line of several; sentences let a passage that was pasted into the
-middle of a line be found.  Units are lower-cased, their white space collapsed, and hashed to
+words or more inside a line of several, or the rest of a sentence from a capitalised word on.
+The last two let a passage that was pasted into the middle of a line, or of a sentence, be
+found.  Units are lower-cased, their white space collapsed, and hashed to
 128 bits; digests are grouped globally and the occurrence of lowest rank (doc_id, then offset)
 stays.  Every other occurrence goes, with its offsets in the original text kept.
 """
@@ -21,6 +22,11 @@ from .common import table
 
 MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 3, 6
 _STOP = re.compile(r"[.!?]+\s+")
+_OPENING = re.compile(r"(?<=[^\s.!?]\s)(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def units(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -30,13 +36,15 @@ def units(text: str) -> Iterator[tuple[int, int, bytes]]:
         end = start + len(line)
         words = line.lower().split()
         if len(words) >= MIN_LINE_WORDS:
-            yield start, min(end + 1, len(text)), xxhash.xxh3_128_digest(" ".join(words).encode())
+            yield start, min(end + 1, len(text)), _digest(words)
             at = 0
             for stop in [m.end() for m in _STOP.finditer(line)] + [len(line)]:
-                if stop - at < len(line):
-                    words = line[at:stop].lower().split()
-                    if len(words) >= MIN_SENTENCE_WORDS:
-                        yield start + at, start + stop, xxhash.xxh3_128_digest(" ".join(words).encode())
+                openings = [m.start() for m in _OPENING.finditer(line, at, stop)]
+                for first in openings if stop - at == len(line) else [at, *openings]:
+                    words = line[first:stop].lower().split()
+                    if len(words) < MIN_SENTENCE_WORDS:
+                        break
+                    yield start + first, start + stop, _digest(words)
                 at = stop
         start = end + 1
 

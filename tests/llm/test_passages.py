@@ -66,6 +66,13 @@ def test_first_rank_stays_and_clean_text_is_left_alone(spark):
     assert got == {1: rows[1][1], 3: "alpha beta gamma\n", 2: "eta theta iota\nkappa lambda mu"}
 
 
+def test_passage_fused_into_a_sentence(spark):
+    passage = "Whole passage of one sentence that goes on for many words without any stop."
+    rows = [(1, f"one two three four five {passage} tail a"), (2, f"other words of a host line {passage} tail b"), (3, passage)]
+    got = {r.doc_id: r.text for r in dedup_passages(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "other words of a host line tail b", 3: ""}
+
+
 def test_odd_input(spark):
     rows = odd_rows() + [(20, "a row without an id"), (21, "two words\ntwo words"), (22, "one line here\none line here")]
     out = dedup_passages(docs(spark, rows))
