@@ -1,7 +1,7 @@
 """Ranked retrieval over index tables, for one query or a table of them.
 
-Query terms are rows (query_id, position, field, term); a null field means every field.  The
-exact mode sums the contributions of all terms; the hybrid mode takes candidates from the terms
+Query terms are rows (query_id, position, field, term), or counted, (query_id, qfield, term,
+qtf, position); a null field means every field.  The exact mode sums the contributions of all terms; the hybrid mode takes candidates from the terms
 below the high-df threshold and lets the frequent terms only re-score them.
 """
 
@@ -23,14 +23,18 @@ def boost_column(boosts: Sequence[float] | None) -> Column:
     return F.lit(1.0) if not boosts else F.element_at(F.array(*(F.lit(float(x)) for x in boosts)), F.col("field") + 1)
 
 
-def match_terms(query_terms: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, shard, field, term, df, idf, is_high_df, qtf, position) of the terms that exist.
+def count_terms(query_terms: DataFrame) -> DataFrame:
+    """(query_id, qfield, term, qtf, position): repeats of a term are counted, its first position stays."""
+    return query_terms.groupBy("query_id", F.col("field").alias("qfield"), "term").agg(F.count("*").alias("qtf"), F.min("position").alias("position"))
 
-    Repeats count through qtf; position is the first.
+
+def match_terms(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, shard, field, term, df, idf, is_high_df, qtf, position) of the counted terms that exist.
+
+    The terms of one query all have a null field, or all have one.
     """
-    wanted = query_terms.groupBy("query_id", F.col("field").alias("qfield"), "term").agg(F.count("*").alias("n"), F.min("position").alias("position"))
     found = wanted.join(terms, "term").where(F.col("qfield").isNull() | (F.col("qfield") == F.col("field")))
-    return found.groupBy("query_id", *KEYS, "df", "idf", "is_high_df").agg(F.sum("n").alias("qtf"), F.min("position").alias("position"))
+    return found.select("query_id", *KEYS, "df", "idf", "is_high_df", "qtf", "position")
 
 
 def contributions(matched: DataFrame, posts: DataFrame, shards: DataFrame, config: IndexConfig, boosts: Sequence[float] | None = None) -> DataFrame:

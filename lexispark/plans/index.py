@@ -18,7 +18,6 @@ from ..storage import shared_path
 
 TABLES = ("corpus", "postings", "doc_stats", "term_stats", "shard_stats", "champions")
 BROADCAST_ROWS = 100_000
-QUERY_TERMS = "query_id long, position int, field int, term string"
 
 
 class SearchIndex:
@@ -112,8 +111,8 @@ class SearchIndex:
             raise ValueError(f"{len(self.fields)} boosts are needed, not {len(given)}")
         return [float(x) for x in given]
 
-    def _terms(self, query: str | Sequence[str] | Mapping[str, str]) -> list[tuple[int, int, int | None, str]]:
-        """The query's terms; text searches all fields, a list or mapping its own field each."""
+    def _terms(self, query: str | Sequence[str] | Mapping[str, str]) -> dict[tuple[int | None, str], list[int]]:
+        """The positions of each (field, term); text searches all fields, a list or mapping its own field each."""
         if isinstance(query, str):
             parts = [(None, query)]
         elif isinstance(query, Mapping):
@@ -126,13 +125,21 @@ class SearchIndex:
         else:
             raise ValueError(f"a query is text, a list or a mapping, not {type(query).__name__}")
         words = [(f, t) for f, text in parts for t in query_tokens(text, self.config.fold, self.config.banned)]
-        return [(0, p, f, t) for p, (f, t) in enumerate(words)]
+        found: dict[tuple[int | None, str], list[int]] = {}
+        for position, word in enumerate(words):
+            found.setdefault(word, []).append(position)
+        return found
+
+    def _literal(self, terms: dict[tuple[int | None, str], list[int]]) -> DataFrame:
+        """The counted terms of one query as an inline table, whose size the planner knows."""
+        rows = (F.struct(F.lit(0).cast("long").alias("query_id"), F.lit(f).cast("int").alias("qfield"), F.lit(t).alias("term"), F.lit(len(at)).cast("long").alias("qtf"), F.lit(at[0]).alias("position")) for (f, t), at in terms.items())
+        return self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
-    def _scores(self, query_terms: DataFrame, literal: list[str] | None, mode: str, max_df: int | None, boosts: Sequence[float] | None) -> DataFrame:
+    def _scores(self, wanted: DataFrame, literal: list[str] | None, mode: str, max_df: int | None, boosts: Sequence[float] | None) -> DataFrame:
         posts, terms = self.postings, self.term_stats
         if literal is not None:  # the terms reach the Parquet scans as a filter
             posts, terms = posts.where(F.col("term").isin(literal)), terms.where(F.col("term").isin(literal))
-        matched = search.match_terms(query_terms, terms)
+        matched = search.match_terms(wanted, terms)
         if mode == "exact":
             return search.exact_scores(matched, posts, self.shard_stats, self.config, max_df, boosts)
         if mode == "hybrid":
@@ -152,12 +159,12 @@ class SearchIndex:
 
         auto_widen doubles max_df until something is found or every term is within it.
         """
-        terms = self._terms(query) if query is not None else []
+        terms = self._terms(query) if query is not None else {}
         by_field = self._by_field(boosts)
         if not terms or k <= 0:
             return self.spark.createDataFrame([], "doc_id long, score double")
-        given = self.spark.createDataFrame(terms, QUERY_TERMS)
-        words = sorted({t for *_, t in terms})
+        given = self._literal(terms)
+        words = sorted({t for _, t in terms})
         found = search.top_k_single(self._scores(given, words, mode, max_df, by_field), k)
         if auto_widen and max_df is not None:
             most = self.term_stats.where(F.col("term").isin(words)).agg(F.max("df")).first()[0] or 0
@@ -189,7 +196,7 @@ class SearchIndex:
 
     def search_batch(self, queries: DataFrame, k: int = 10, max_df: int | None = None, boosts: Mapping[str, float] | Sequence[float] | None = None, mode: str = "hybrid") -> DataFrame:
         """(query_id, doc_id, score): the k best documents of every query of a table, in one job."""
-        scores = self._scores(self.query_terms(queries), None, mode, max_df, self._by_field(boosts))
+        scores = self._scores(search.count_terms(self.query_terms(queries)), None, mode, max_df, self._by_field(boosts))
         return search.top_k(scores, k)
 
     # -- reports ------------------------------------------------------------------------------

@@ -272,7 +272,7 @@ def okapi_batch_hybrid(spark, sf_dir):
 
 
 def _written(spark, sf_dir, kind):
-    path = f"{shared_path(spark)}.{kind}"
+    path = f"{shared_path(spark)}/documents.{kind}"
     out = _table(spark, sf_dir, "documents").write
     (out.option("header", True).option("escape", '"').option("quoteAll", True).csv if kind == "csv" else out.json)(path)
     index = SearchIndex.index_file(spark, path, TEXT, key="doc_id")
@@ -303,9 +303,9 @@ def stream_static(spark, sf_dir):
     schema = _table(spark, sf_dir, "benchmark").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir)
     out = shared_path(spark)
-    stream = stream_search(_index(spark, sf_dir), source.select(F.col("item_id").alias("query_id"), "text"), out, f"{out}-state", k=10, mode="exact")
+    stream = stream_search(_index(spark, sf_dir), source.select(F.col("item_id").alias("query_id"), "text"), f"{out}/answers", f"{out}/state", k=10, mode="exact")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("query_id", "doc_id", "score")
+    return spark.read.parquet(f"{out}/answers").select("query_id", "doc_id", "score")
 
 
 QUERIES = {
