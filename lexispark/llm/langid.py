@@ -106,7 +106,7 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
             )
 
     sample = picked.select("lang", "text", unit_hash("doc_id", "text", seed="fold").alias("spot")).mapInArrow(features, "lang string, at array<int>, v array<float>, spot double")
-    sample = sample.toPandas().sort_values(["spot", "lang"]).reset_index(drop=True)
+    sample = sample.toArrow().to_pandas().sort_values(["spot", "lang"]).reset_index(drop=True)
     languages = sorted(sample["lang"].unique())
     if not languages:
         return LanguageModel([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)

@@ -131,13 +131,15 @@ def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = S
     base = float(np.log(rate / (1 - rate)))
     if len(np.unique(toxic)) < 2:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), base)
-    seen = np.bincount(np.concatenate(docs), minlength=1 << FEATURE_BITS)
+    seen = np.zeros(1 << FEATURE_BITS, np.int32)
+    for d in docs:
+        seen[d] += 1
     groups = identity_slots()
     named = np.unique(np.concatenate(groups))
     use = seen >= MIN_DOCS
     use[named] = True
     kept = np.flatnonzero(use)
-    docs = [np.searchsorted(kept, d[use[d]]) for d in docs]
+    docs = [np.searchsorted(kept, d[use[d]]).astype(np.int32) for d in docs]
     groups = [np.searchsorted(kept, g) for g in groups]
     group_of = {int(t): g for g in groups for t in g}
     bias = len(kept)
@@ -180,9 +182,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "ids"])
 
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = sample.mapInArrow(rows_of, "doc_id long, toxic int, ids array<int>").toPandas()
+    rows = sample.mapInArrow(rows_of, "doc_id long, toxic int, ids array<int>").toArrow().to_pandas()
     rows = rows.assign(n=rows["ids"].map(len)).sort_values(["doc_id", "n"])
-    return learn_toxicity([np.asarray(s, np.int64) for s in rows["ids"]], (rows["toxic"].to_numpy() > 0).astype(float))
+    toxic = (rows["toxic"].to_numpy() > 0).astype(float)
+    return learn_toxicity(list(rows.pop("ids")), toxic)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
