@@ -25,7 +25,7 @@ BITS, STEM, LEVELS = 20, 6, (1, 2, 3, 5)
 FEATURE_BITS = BITS + 3
 MAX_SAMPLE = 16_000
 MIN_DOCS = 4
-EPOCHS = 6
+EPOCHS = 8
 SWAP_PENALTY = 4.0
 
 #: Identity terms by group: a term may be swapped for any other of its group.
@@ -143,7 +143,7 @@ def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = S
     groups = [np.searchsorted(kept, g) for g in groups]
     group_of = {int(t): g for g in groups for t in g}
     bias = len(kept)
-    model = Ftrl(bias + 1, 1, alpha=0.3, l1=6.0, l2=1.0)
+    model = Ftrl(bias + 1, 1, alpha=0.3, l1=15.0, l2=1.0)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
