@@ -25,7 +25,7 @@ GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
 MAX_PER_LANGUAGE = 400
 EPOCHS = 4
-#: A document is kept when its score is so many times that of a guess among the languages.
+#: A document is kept when its score is so many times that of a guess among the languages (see least_score).
 LEAST_LIFT = 1.1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -154,12 +154,19 @@ def identify_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) ->
     return out.withColumn("__p", prediction(model)).select(*out.columns, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
 
 
+def least_score(languages: int, lift: float = LEAST_LIFT) -> float:
+    """``lift`` times chance, and never more than halfway from chance to certainty, so that every bar can be reached."""
+    chance = 1 / max(1, languages)
+    return min(lift * chance, (1 + chance) / 2)
+
+
 def keep_known_languages(docs: DataFrame, lift: float = LEAST_LIFT) -> DataFrame:
-    """docs without those whose language is unknown or scored under ``lift`` times chance; same columns.
+    """docs without those whose language is unknown or scored under least_score; same columns.
 
-    Short texts are scored low without being wrong, so the bar is low.  Where nothing could be
+    Short texts are scored low without being wrong, so the bar is low.  Where one language was
+    learned, its score is always 1 and every text with a letter stays; where nothing could be
     learned, every language is unknown and no row stays.
     """
     model = fit_language_model(docs, F.col("doc_id").isNotNull() & ~_held_out())
     found = docs.withColumn("__p", prediction(model))
-    return found.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= lift / max(1, len(model.languages)))).select(*docs.columns)
+    return found.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least_score(len(model.languages), lift))).select(*docs.columns)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import docs, odd_rows, sentence
 
-from lexispark.llm.langid import gram_counts, identify_languages, keep_known_languages
+from lexispark.llm.langid import gram_counts, identify_languages, keep_known_languages, least_score
 from lexispark.llm.linear import Ftrl, softmax, temperature
 from lexispark.llm.toxicity import IDENTITIES, features, learn_toxicity, score_toxicity
 from lexispark.llm.textvec import pieces
@@ -48,6 +48,12 @@ def test_odd_texts(spark):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_one_language_stays(spark):
+    rows = [(i, t, "en", "s") for i, t, lang, _ in corpus(4) if lang == "en"] + [(1000, None, "en", "s"), (1001, "### !!!", "en", "s")]
+    assert {r.doc_id for r in keep_known_languages(docs(spark, rows)).collect()} == {r[0] for r in rows[:-2]}
+    assert least_score(1) == 1.0 and abs(least_score(4) - 1.1 / 4) < 1e-12 and all(least_score(n, 5) < 1 for n in range(2, 9))
+
+
 def test_grams_see_the_whole_text():
     assert gram_counts("ab" * 3).sum() == 6 + 5 + 4
     assert gram_counts("").sum() == 0 and gram_counts("\ud800").sum() == 1

@@ -46,6 +46,13 @@ def test_run_equals_the_stages(spark, sf_dir):
     assert key(pipeline.run(spark, sf_dir)) == key(df)
 
 
+def test_one_language_passes_the_pipeline(spark, tmp_path):
+    rows = [(i, t + f" tail{i} end{i * 7}", "en", "s") for i, t, lang, _ in corpus(6, 90) if lang == "en"]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_stages_take_odd_and_empty_input(spark, sf_dir):
     for rows in ([], odd_rows()):
         for _, stage in pipeline.STAGES:
