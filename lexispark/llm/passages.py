@@ -1,18 +1,24 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
 A unit is a line of ``MIN_LINE_WORDS`` words or more, or a sentence of ``MIN_SENTENCE_WORDS``
-words or more inside a line of several, or the rest of a sentence from a capitalised word on.
-The last two let a passage that was pasted into the middle of a line, or of a sentence, be
-found.  Units are lower-cased, their white space collapsed, and hashed to
-128 bits; digests are grouped globally and the occurrence of lowest rank (doc_id, then offset)
-stays.  Every other occurrence goes, with its offsets in the original text kept.
+words or more inside a line of several, or the rest of a sentence from a capitalised word on, or
+a block: the words from one cut to the first cut ``MIN_BLOCK_WORDS`` words or more behind it.
+Cuts are the ends of the text and about one word in ``CUT_EVERY``, picked by the hash of the
+word and of the next.  So they depend on near words only, and a passage that was pasted into the
+middle of a line, or of a sentence, is found from about its first cut to its last one, its short
+sentences too.  Units are lower-cased, their white space
+collapsed, and hashed to 128 bits; digests are grouped globally and the occurrence of lowest
+rank (doc_id, then offset) stays.  Every other occurrence goes, with its offsets in the original
+text kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 3, 6
+MIN_LINE_WORDS, MIN_SENTENCE_WORDS, MIN_BLOCK_WORDS = 3, 6, 8
+CUT_EVERY = 10
 _STOP = re.compile(r"[.!?]+\s+")
+#: Whether a code point is white space, as str.split takes it; none is beyond U+3000.
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 _OPENING = re.compile(r"(?<=[^\s.!?]\s)(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
 
 
@@ -29,6 +38,68 @@ def _digest(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a text, which of them are in words, and where its words start."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = ~_SPACES[np.minimum(code, len(_SPACES) - 1)]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    return code, solid, np.flatnonzero(first)
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word in lower case: the sum of those of its code points and their places in it."""
+    code, solid, starts = _codes(text.lower())
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    code, solid, starts = code[starts[0] :], solid[starts[0] :], starts - starts[0]
+    place = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code))))
+    return np.add.reduceat(np.where(solid, _mixed(place.astype(np.uint64) << np.uint64(32) | code), np.uint64(0)), starts)
+
+
+@lru_cache(128)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)), dtype=np.uint64)
+
+
+def _digests(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """128 bits for the words from first to stop each: two polynomials of their hashes, by running sums modulo 2**64."""
+    out = np.empty((len(first), 2), "<u8")
+    n = 1 << len(h).bit_length()
+    for lane, base in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)):
+        h = _mixed(h + np.uint64(base))
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * _powers(pow(base, -1, 1 << 64), n)[: len(h)], out=total[1:])
+        out[:, lane] = (total[stop] - total[first]) * _powers(base, n)[first]
+    flat = out.tobytes()
+    return [flat[k : k + 16] for k in range(0, len(flat), 16)]
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of each block; one that overlaps the block of the same words before it is left out."""
+    h = _word_hashes(text)
+    n = len(h)
+    if n < MIN_BLOCK_WORDS:
+        return
+    near = (h[:-1] * np.uint64(3) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(near % np.uint64(CUT_EVERY) == 0), [n]]))
+    to = np.searchsorted(cuts, cuts + MIN_BLOCK_WORDS)
+    first, stop = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+    starts = np.append(_codes(text)[2], len(text))
+    upto: dict[bytes, int] = {}
+    for a, b, start, end, digest in zip(first.tolist(), stop.tolist(), starts[first].tolist(), starts[stop].tolist(), _digests(h, first, stop), strict=True):
+        if upto.get(digest, 0) <= a:
+            upto[digest] = b
+            yield start, end, digest
+
+
 def units(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit; offsets are code points, end takes in the white space that follows."""
     start = 0
@@ -47,6 +118,7 @@ def units(text: str) -> Iterator[tuple[int, int, bytes]]:
                     yield start + first, start + stop, _digest(words)
                 at = stop
         start = end + 1
+    yield from blocks(text)
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +176,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    found = docs.where("text is not null").mapInArrow(_unit_rows, "doc_id long, mark long, start long, end long, digest binary")
+    found = table(docs.where("text is not null").mapInArrow(_unit_rows, "doc_id long, mark long, start long, end long, digest binary"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
     first = table(first.select(F.col("digest").alias("d"), "first"))

@@ -2,7 +2,7 @@ import random
 
 from helpers import docs, odd_rows, sentence, vocabulary
 
-from lexispark.llm.passages import dedup_passages, merged, units
+from lexispark.llm.passages import blocks, dedup_passages, merged, units
 
 
 def brute(rows):
@@ -73,6 +73,31 @@ def test_passage_fused_into_a_sentence(spark):
     assert got == {1: rows[0][1], 2: "other words of a host line tail b", 3: ""}
 
 
+def test_passage_fused_at_both_ends(spark):
+    rng, words = random.Random(7), vocabulary(7, 3000)
+    rows, inside = [], {}
+    for n in range(20):  # no stop, no capital letter and no line break where it begins or ends; its sentences are short
+        passage = sentence(rng, 24, words) + ". " + ". ".join(sentence(rng, 4, words) for _ in range(6)) + ". " + sentence(rng, 24, words)
+        for i in (n, 100 + n):
+            rows.append((i, f"{sentence(rng, 30, words)} {passage} {sentence(rng, 30, words)}"))
+        inside[100 + n] = passage
+    got = {r.doc_id: r for r in dedup_passages(docs(spark, rows)).collect()}
+    gone = [got[i].removed_chars / len(p) for i, p in inside.items()]
+    assert sum(gone) / len(gone) > 0.6 and max(gone) <= 1 and all(got[n].removed_chars == 0 for n in range(20))
+    for i, text in rows[1::2]:
+        at = text.index(inside[i])
+        assert all(at <= s.start and s.end <= at + len(inside[i]) + 1 for s in got[i].removed)
+
+
+def test_blocks_of_one_repeated_word_do_not_overlap():
+    for text in ("x " * 100, "İ\u3000ς\x1cé  \ud800 " * 40):
+        spans = {}
+        for start, end, digest in blocks(text):
+            spans.setdefault(digest, []).append((start, end))
+            assert len(text[start:end].split()) >= 8
+        assert all(a[1] <= b[0] for found in spans.values() for a, b in zip(found, found[1:]))
+
+
 def test_odd_input(spark):
     rows = odd_rows() + [(20, "a row without an id"), (21, "two words\ntwo words"), (22, "one line here\none line here")]
     out = dedup_passages(docs(spark, rows))
