@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders; what is left of each text is a template.
 Windows of ``WINDOW`` template tokens are hashed and joined with the windows of the benchmark
 items.  A match at one shift between document and item is a diagonal: its slots must agree, so
-that one value of the item (3, say) always stands for one value in the document (7, say); on a
-diagonal where they do not, only windows without slots count.  A document leaks an item when
-the consistent matches cover enough of the item's windows.
+that one value of the item (3, say) always stands for one value in the document (7, say).  Where
+an item's value stands for several, the windows that hold it count only with the item's own
+value.  A document leaks an item when the consistent matches cover enough of the item's windows,
+or when ``LONG_RUN`` tokens in a row on one diagonal are covered by them, however long the item.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .common import table
 
 WINDOW = 5
 COVERAGE = 0.5
+LONG_RUN = 13
 #: A benchmark of up to so many windows (16 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -58,11 +60,27 @@ def _slots(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode(made).alias("pos", "z")).select(key, "pos", F.col("z.kind").alias("kind"), F.col("z.value").alias("value")).where(f"kind BETWEEN {NUM_CODE} AND {UNIT_CODE}")
 
 
+def longest_run(spans: str) -> Column:
+    """The most tokens in a row that an array of structs (a, b) covers, each from a up to b."""
+    return F.expr(
+        f"aggregate(array_sort({spans}), struct(-1 AS lo, -1 AS hi, 0 AS best), (s, x) -> struct("
+        "if(x.a <= s.hi, s.lo, x.a) AS lo, greatest(s.hi, x.b) AS hi, greatest(s.best, greatest(s.hi, x.b) - if(x.a <= s.hi, s.lo, x.a)) AS best), s -> s.best)"
+    )
+
+
+def _long_runs(hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the pairs with a run of LONG_RUN tokens on a diagonal; an array holds one item's windows at most."""
+    spans = F.collect_set(F.struct(F.col("ipos").cast("int").alias("a"), (F.col("ipos") + F.col("width")).cast("int").alias("b")))
+    found = hits.groupBy("doc_id", "item_id", "shift").agg(F.min("ipos").alias("lo"), F.max(F.col("ipos") + F.col("width")).alias("hi"), spans.alias("spans"))
+    return found.where(F.col("hi") - F.col("lo") >= LONG_RUN).where(longest_run("spans") >= LONG_RUN).select("doc_id", "item_id").distinct()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, coverage, n_conflicts) for each leaked item of a document.
 
     n_windows counts the item's windows that have two literals or more, n_matched those that
-    consistent diagonals hold, n_conflicts the diagonals whose slots disagree.  An item shorter
+    are matched consistently, n_conflicts the diagonals whose slots disagree.  coverage is under
+    the bar for a leak by a long run alone.  An item shorter
     than ``window`` tokens is one window of its own length.
 
     Null or empty texts match nothing, on either side; neither do items of fewer than two
@@ -97,6 +115,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
     # a first bound, without slots, leaves few pairs to look at closely
     hits = table(hits)
     near = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("m")).join(needed, "item_id").where(F.col("m") >= coverage * F.col("n_windows")).select("doc_id", "item_id")
+    near = near.union(_long_runs(hits)).distinct()
     hits = table(hits.join(near, ["doc_id", "item_id"], "left_semi"))
 
     runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.min("ipos").alias("lo"), F.max(F.col("ipos") + F.col("width")).alias("hi"), F.max("slotted").alias("slotted")).where("slotted")
@@ -107,13 +126,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
     dslots = _slots(texts.withColumn("codes", codes("words")), "doc_id").select("doc_id", F.col("pos").alias("dpos"), F.col("kind").alias("dkind"), F.col("value").alias("dvalue"))
     wanted = runs.join(islots, "item_id").where("ipos >= lo AND ipos < hi").withColumn("dpos", F.col("ipos") + F.col("shift"))
     pairs = wanted.join(dslots, ["doc_id", "dpos"]).where("ikind = dkind")
-    clash = pairs.groupBy("doc_id", "item_id", "shift", "ikind", "ivalue").agg(F.min("dvalue").alias("a"), F.max("dvalue").alias("z")).where("a <> z").select("doc_id", "item_id", "shift").distinct()
-    judged = hits.join(clash.withColumn("clash", F.lit(True)), ["doc_id", "item_id", "shift"], "left")
+    key = ["doc_id", "item_id", "shift", "ikind", "ivalue"]
+    clash = pairs.groupBy(*key).agg(F.min("dvalue").alias("a"), F.max("dvalue").alias("z")).where("a <> z").select(*key)
+    wrong = pairs.join(clash, key).groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.when(F.col("dvalue") != F.col("ivalue"), F.col("ipos"))).alias("bad"))
+    judged = hits.join(wrong, ["doc_id", "item_id", "shift"], "left")
+    judged = table(judged.withColumn("fits", F.expr("bad IS NULL OR NOT exists(bad, p -> p >= ipos AND p < ipos + width)")).withColumn("clash", F.col("bad").isNotNull()).drop("bad"))
     counts = judged.groupBy("doc_id", "item_id").agg(
-        F.countDistinct(F.when(F.col("clash").isNull() | ~F.col("slotted"), F.col("ipos"))).alias("n_matched"),
+        F.countDistinct(F.when(F.col("fits"), F.col("ipos"))).alias("n_matched"),
         F.countDistinct(F.when(F.col("clash"), F.col("shift"))).alias("n_conflicts"),
     )
-    out = counts.join(needed, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    long = _long_runs(judged.where("fits")).withColumn("long", F.lit(True))
+    out = counts.join(needed, "item_id").join(long, ["doc_id", "item_id"], "left").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    out = out.where((F.col("coverage") >= coverage) | F.col("long"))
     return out.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "n_conflicts")
 
 

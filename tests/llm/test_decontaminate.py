@@ -58,6 +58,22 @@ def test_matches_brute_force_on_plain_passages(spark):
     assert set(leaks(spark, rows, items)) == want and want
 
 
+def test_long_quote_of_a_longer_item_leaks(spark):
+    rng, words = random.Random(3), vocabulary(3, 3000)
+    item, own = sentence(rng, 300, words).split(), sentence(rng, 60, words)
+    rows = [(1, f"{own} {' '.join(item[90:190])} {own}"), (2, f"{own} {' '.join(item[20:33])} {own}"), (3, f"{own} {' '.join(item[20:32])} {own}"), (4, own)]
+    got = leaks(spark, rows, [(5, " ".join(item))])
+    assert set(got) == {(1, 5), (2, 5)} and got[1, 5].n_matched == 96 and got[1, 5].coverage < 0.5
+
+
+def test_one_edited_value_voids_its_own_windows_only(spark):
+    item = "der alte Bauer Anton ging mit Berta nach Celle und dort traf er Dora und Emil mit Anton am Markt von Fulda"
+    edited = item.replace("Anton am", "Gustav am")
+    got = leaks(spark, [(1, item), (2, edited)], [(5, item)])
+    assert set(got) == {(1, 5), (2, 5)} and got[2, 5].n_conflicts == 1
+    assert 0 < got[1, 5].n_matched - got[2, 5].n_matched <= 5
+
+
 def test_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     rows = [(1, QUESTION), (2, "other words only"), (3, "x " * 50 + QUESTION)]
     first = set(leaks(spark, rows, [(5, QUESTION), (6, "short one")]))
