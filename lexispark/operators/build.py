@@ -135,18 +135,31 @@ def _bit_places(doc_id: Column, hashes: int) -> Column:
 
 
 def bloom_filters(posts: DataFrame, terms: DataFrame, fpr: float) -> DataFrame:
-    """(shard, field, term, tf, num_bits, num_hashes, bits): the distinct places that are set."""
+    """(shard, field, term, tf, num_bits, num_hashes, word, bits): each 64-bit word of a filter that is not 0.
+
+    A filter is as many rows as it has words, so neither a row nor a group grows with its members.
+    """
     sized = bloom_parameters(tf_histogram(posts, terms), fpr)
     members = posts.join(sized, ["shard", "field", "term", "tf"])
     places = members.select("shard", "field", "term", "tf", "num_bits", "num_hashes", F.explode(_bit_places(F.col("doc_id"), bloom_hashes(fpr))).alias("bit"))
-    return places.groupBy("shard", "field", "term", "tf", "num_bits", "num_hashes").agg(F.sort_array(F.collect_set("bit")).alias("bits"))
+    return places.groupBy("shard", "field", "term", "tf", "num_bits", "num_hashes", F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+
+
+def bloom_counts(filters: DataFrame) -> DataFrame:
+    """(shard, field, term, tf, num_bits, num_hashes, n_set): how many bits of each filter are set."""
+    return filters.groupBy("shard", "field", "term", "tf", "num_bits", "num_hashes").agg(F.sum(F.bit_count("bits")).alias("n_set"))
 
 
 def bloom_matches(probes: DataFrame, filters: DataFrame, fpr: float) -> DataFrame:
     """The probes (shard, field, term, doc_id, ...) that a filter may hold, with its tf; no member is missed."""
-    joined = probes.join(filters, ["shard", "field", "term"])
-    held = F.size(F.array_except(_bit_places(F.col("doc_id"), bloom_hashes(fpr)), F.col("bits"))) == 0
-    return joined.where(held).select(*probes.columns, "tf")
+    sizes = filters.select("shard", "field", "term", "tf", "num_bits").distinct()
+    asked = probes.select("shard", "field", "term", "doc_id").distinct().join(sizes, ["shard", "field", "term"])
+    places = asked.select("shard", "field", "term", "doc_id", "tf", F.explode(_bit_places(F.col("doc_id"), bloom_hashes(fpr))).alias("bit"))
+    words = filters.select("shard", "field", "term", "tf", "word", "bits")
+    found = places.withColumn("word", F.expr("bit div 64")).join(words, ["shard", "field", "term", "tf", "word"])
+    found = found.where("shiftright(bits, cast(bit % 64 AS int)) & 1 = 1").groupBy("shard", "field", "term", "doc_id", "tf").count()
+    held = found.where(F.col("count") == bloom_hashes(fpr)).drop("count")
+    return probes.join(held, ["shard", "field", "term", "doc_id"]).select(*probes.columns, "tf")
 
 
 def vocabulary(posts: DataFrame) -> DataFrame:

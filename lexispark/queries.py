@@ -179,10 +179,15 @@ def bloom_params(spark, sf_dir):
 
 
 def bloom_filters(spark, sf_dir):
-    """The bits of the Bloom filters of the champions' part of the index, at 1 % false positives."""
+    """The bits set in the Bloom filters of the index of part, at 1 % false positives."""
     index = _index(spark, sf_dir, PART)
-    filters = build.bloom_filters(index.postings, index.term_stats, 0.01)
-    return filters.select("shard", "field", "term", "tf", "num_bits", "num_hashes", F.size("bits").cast("long").alias("n_set"))
+    return build.bloom_counts(build.bloom_filters(index.postings, index.term_stats, 0.01))
+
+
+def bloom_filters_documents(spark, sf_dir):
+    """The bits set in the Bloom filters of the index of documents, at the configured rate."""
+    index = _index(spark, sf_dir)
+    return build.bloom_counts(build.bloom_filters(index.postings, index.term_stats, index.config.bloom_fpr))
 
 
 def vocabulary(spark, sf_dir):
@@ -312,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, tokenize_first_line, tokenize_pages, valid_tokens, stopword_filter, postings_tf, doc_length, doc_freq, doc_freq_part,
-        shard_stats, idf_table, high_df_terms, champion_lists, tf_histogram, bloom_params, bloom_filters, vocabulary, index_report,
+        shard_stats, idf_table, high_df_terms, champion_lists, tf_histogram, bloom_params, bloom_filters, bloom_filters_documents, vocabulary, index_report,
         posting_gaps, tf_runs, okapi_exact_topk, okapi_repeated_term, okapi_max_df, okapi_stopwords, okapi_hybrid_low,
         okapi_hybrid_all_high, okapi_boosted, okapi_fielded, okapi_hybrid_fielded, okapi_sharded_topk, auto_widen, topk_records,
         topk_quality, okapi_batch, okapi_batch_hybrid, csv_roundtrip, json_roundtrip, save_load_topk, memory_docs_topk, stream_static,
@@ -346,6 +351,12 @@ bits AS (
   SELECT shard, field, term, tf, num_bits, (('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT + unnest(range(0, 7)) * ('0x' || substr(md5(doc_id::VARCHAR), 8, 7))::BIGINT) % num_bits AS bit
   FROM posts JOIN sized USING (shard, field, term, tf))
 SELECT shard, field, term, tf, num_bits, 7::INTEGER AS num_hashes, count(DISTINCT bit) AS n_set FROM bits GROUP BY ALL""",
+    "bloom_filters_documents": f"""WITH {_base()}, sized AS (
+  SELECT shard, field, term, tf, ceil(count(*) * ln(1e-8::DOUBLE) / ln(1 / pow(2::DOUBLE, ln(2::DOUBLE))))::BIGINT AS num_bits FROM posts JOIN terms USING (shard, field, term) WHERE is_high_df GROUP BY ALL),
+bits AS (
+  SELECT shard, field, term, tf, num_bits, (('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT + unnest(range(0, 27)) * ('0x' || substr(md5(doc_id::VARCHAR), 8, 7))::BIGINT) % num_bits AS bit
+  FROM posts JOIN sized USING (shard, field, term, tf))
+SELECT shard, field, term, tf, num_bits, 27::INTEGER AS num_hashes, count(DISTINCT bit) AS n_set FROM bits GROUP BY ALL""",
     "vocabulary": f"WITH {_base()} SELECT DISTINCT shard, field, term FROM posts",
     "index_report": f"WITH {_base()} SELECT (SELECT count(*) FROM lengths) AS num_docs, (SELECT sum(doc_len)::BIGINT FROM lengths) AS num_tokens, count(*) AS num_terms, sum(df)::BIGINT AS num_postings, count(*) FILTER (WHERE is_high_df) AS num_high_df_terms FROM terms",
     "posting_gaps": f"WITH {_base()} SELECT shard, field, term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY shard, field, term ORDER BY doc_id) AS gap FROM posts",

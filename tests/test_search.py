@@ -223,6 +223,18 @@ def test_bloom_sizes_and_members(spark, hybrid):
     assert {tuple(r) for r in high.select("shard", "field", "term", "doc_id", "tf").collect()} <= found
 
 
+def test_bloom_filters_are_rows_of_words(spark):
+    posts = spark.range(5000).selectExpr("0 AS shard", "0 AS field", "'x' AS term", "id * 2 AS doc_id", "1 AS tf")
+    terms = spark.createDataFrame([(0, 0, "x", True)], "shard int, field int, term string, is_high_df boolean")
+    filters = build.bloom_filters(posts, terms, 0.01)
+    rows = filters.collect()
+    assert len(rows) > 100 and len({r.word for r in rows}) == len(rows) and max(r.word for r in rows) <= rows[0].num_bits // 64
+    probes = spark.range(10_000).selectExpr("0 AS shard", "0 AS field", "'x' AS term", "id AS doc_id", "'p' AS note")
+    found = {r.doc_id for r in build.bloom_matches(probes.unionByName(probes), filters, 0.01).collect()}
+    assert set(range(0, 10_000, 2)) <= found and len(found) < 5000 + 250
+    assert build.bloom_matches(probes.unionByName(probes), filters, 0.01).count() == 2 * len(found)
+
+
 # -- sources --------------------------------------------------------------------------------------
 
 CSV = 'id,title,artist\n1,"He said ""hi"", ok",x\n2,"line1\nline2",y\n3,,z\n'
