@@ -1,38 +1,27 @@
-"""Shared helpers: tables in the cluster's shared folder, hashing, sampling."""
+"""Shared helpers: tables in the cluster's shared folder, hashing, sampling, joins on hot keys."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
+from ..storage import stored as table  # noqa: F401  tables in the shared folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only for local masters."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_CHECKPOINTS
+WORD = r"[^\x20\x09-\x0D]+"
+HOT_KEYS = 4096
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts its lineage.
+def join_split(rows: DataFrame, side: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key, and n: how many of ``total`` rows hold it.
 
-    The files outlive any executor and are removed when the session's JVM exits.
+    Keys of more than total / HOT_KEYS rows, of which there are fewer than HOT_KEYS, come to the
+    rows by broadcast; only the other rows are shuffled by key.  So no key is too much for a task.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    is_hot = F.col("n") * HOT_KEYS > F.lit(max(1, total))
+    hot, cold = side.where(is_hot), side.where(~is_hot)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return near.unionByName(far)
 
 
 def unit_hash(*columns: Column | str, seed: str) -> Column:

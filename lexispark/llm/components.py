@@ -29,3 +29,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
+
+
+def grow_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """known (node, component) after further edges (a, b) between its nodes.
+
+    Edges are contracted to the components they join, so each round only works on what is new.
+    """
+    at = lambda n: known.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    joined = edges.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    moved = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return table(known.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")))

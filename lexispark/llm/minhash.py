@@ -20,11 +20,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .components import connected_components
+from .common import join_split, table
+from .components import grow_components
 from .textvec import mix, pieces, shingle_set, windows
 
 COORDS, ROWS = 240, 6
@@ -69,7 +69,7 @@ def band_keys(items: np.ndarray, coords: int, rows: int) -> np.ndarray:
     return key
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
     for batch in batches:
         for p in pieces(batch.column("text")):
             h = p.word_hashes(lower=True)
@@ -78,7 +78,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Arr
             found = []
             for a, b in zip(p.first_word[:-1], p.first_word[1:], strict=True):
                 found.append(np.unique(w[a : b - size + 1]) if b - a >= size else shingle_set(h[a:b], size))
-            yield batch.column("doc_id").slice(p.first, p.rows), found
+            yield *(batch.column(c).slice(p.first, p.rows) for c in ("doc_id", "mark")), found
 
 
 def _digest(items: np.ndarray) -> bytes:
@@ -86,20 +86,20 @@ def _digest(items: np.ndarray) -> bytes:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, coords: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches, size):
+    for ids, marks, sets in _sets(batches, size):
         some = [s for s in sets if len(s)]
         keys = np.concatenate([band_keys(s, coords, rows) for s in some]) if some else np.zeros(0, np.uint64)
         filled = np.array([len(s) > 0 for s in sets], bool)
         offsets = np.concatenate([[0], np.cumsum(filled * (coords // rows))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, keys.view(np.int64))],
-            ["doc_id", "n_shingles", "digest", "bands"],
+            [ids, marks, pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, keys.view(np.int64))],
+            ["doc_id", "mark", "n_shingles", "digest", "bands"],
         )
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches, size):
-        yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "items"])
+    for _, _, sets in _sets(batches, size):
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -145,7 +145,7 @@ def _block(t: pa.Table, percent: int) -> pa.Table:
         size = np.array([len(s) for s in sets])
         common = overlaps([sets[i] for i in left], [sets[i] for i in right])
         hit = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
-        comp, rep = rows["comp"].to_numpy(), rows["rep"].to_numpy()
+        comp, node = rows["comp"].to_numpy(), rows["node"].to_numpy()
         root = {c: c for c in comp}
 
         def find(c):
@@ -158,23 +158,69 @@ def _block(t: pa.Table, percent: int) -> pa.Table:
             a, b = find(comp[left[i]]), find(comp[right[j]])
             if a != b:
                 root[max(a, b)] = min(a, b)
-                edges.append((rep[left[i]], rep[right[j]]))
+                edges.append((node[left[i]], node[right[j]]))
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     return with_b.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
 
 def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with their component, of buckets of three or more that span several components."""
-    at = members.where("n >= 3").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    at = table(at)
-    spread = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return table(at.join(spread, "key", "left_semi"))
+    """(key, node, comp): members of the buckets that span several components."""
+    at = table(members.select("key", "node").join(comps, "node").select("key", "node", F.col("component").alias("comp")))
+    spread = at.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    return table(join_split(at, table(spread), "key", at.count()).drop("n"))
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int, coords: int, rows: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) for each document; mark is a hash of its text.
+
+    Distinct sets are the nodes that are linked, each known by a number, so a doc_id that comes
+    with several texts joins nothing.  A component is named by the least doc_id of its nodes.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id long, mark long, n_shingles long, digest binary, bands array<long>"
+    found = table(docs.mapInArrow(partial(_sketches, size=shingle, coords=coords, rows=rows), schema))
+    same = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = table(same.withColumn("node", F.monotonically_increasing_id()))
+
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    n_keys = nodes.count() * (coords // rows)
+    buckets = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n >= 2"))
+    members = table(join_split(keys, buckets, "key", n_keys))
+    wanted = table(members.select("node").distinct().join(nodes.select("node", "rep", "digest"), "node"))
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    items = texts.mapInArrow(partial(_set_rows, size=shingle), "digest binary, items binary").groupBy("digest").agg(F.first("items").alias("items"))
+    sets = table(items.join(wanted.select("digest", "node"), "digest").select("node", "items"))
+
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    comps = wanted.select("node", F.col("node").alias("component"))
+    comps = grow_components(comps, table(_links(pairs, sets, percent)))
+    left = _open_buckets(members.where("n >= 3"), comps)
+    for k in range(1, HUB_ROUNDS):
+        if left.isEmpty():
+            break
+        order = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+        hubs = table(left.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("h")))
+        at = join_split(left, hubs, "key", left.count()).where("comp <> h.hub_comp")
+        pairs = table(at.select(F.col("node").alias("a"), F.col("h.hub").alias("b")).distinct())
+        comps = grow_components(comps, table(_links(pairs, sets, percent)))
+        left = _open_buckets(left, comps)
+    if not left.isEmpty():
+        comps = grow_components(comps, _across(left, sets, percent))
+
+    at = table(nodes.select("digest", "node", "rep", "n").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = table(at.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    named = join_split(at.withColumnRenamed("n", "n_rows"), least, "component", at.count()).select("digest", "component_id", F.col("n_rows").alias("n"))
+    return join_split(found.select("doc_id", "mark", "n_shingles", "digest"), table(named), "digest", found.count(), "left")
+
+
+def _component() -> Column:
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords: int = COORDS, rows: int = ROWS) -> DataFrame:
@@ -190,50 +236,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     that repeat a doc_id with other text are each judged by their own text.  Only doc_id and
     text are read, so further columns do no harm.  No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
-    found = table(docs.mapInArrow(partial(_sketches, size=shingle, coords=coords, rows=rows), schema))
-    nodes = table(found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-
-    keys = nodes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n >= 2")
-    members = table(keys.join(table(buckets), "key").select("key", "rep", "n", "hub"))
-    wanted = table(members.select("rep").distinct())
-    sets = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(partial(_set_rows, size=shingle), "rep long, items binary")
-    sets = table(sets.dropDuplicates(["rep", "items"]))
-
-    pairs = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = table(_links(pairs, sets, percent))
-    comps = connected_components(edges)
-    left = _open_buckets(members, comps)
-    for k in range(1, HUB_ROUNDS):
-        if left.isEmpty():
-            break
-        hubs = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), F.col("rep").alias("hub"), F.col("comp").alias("hub_comp"))).alias("h"))
-        pairs = left.join(hubs, "key").where("comp <> h.hub_comp").select(F.col("rep").alias("a"), F.col("h.hub").alias("b")).distinct()
-        edges = table(edges.unionByName(_links(table(pairs), sets, percent)))
-        comps = connected_components(edges)
-        left = _open_buckets(left.withColumn("n", F.lit(3)).drop("comp"), comps)
-    if not left.isEmpty():
-        edges = edges.unionByName(_across(left, sets, percent))
-        comps = connected_components(edges)
-
-    named = nodes.select("digest", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = _groups(docs, shingle, percent, coords, rows)
+    return out.select("doc_id", "n_shingles", _component().alias("component_id"), F.coalesce(F.col("doc_id") == _component(), F.lit(True)).alias("kept"))
 
 
 def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of a bucket: members outside its main component against all, in blocks."""
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor"))
-    shape = main.select("key", "main", F.ceil(F.col("minor") / BLOCK).cast("int").alias("up"), F.ceil(F.col("all") / BLOCK).cast("int").alias("down"))
-    at = left.join(table(shape), "key")
-    spot = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    minor = at.where("comp <> main").select("key", "rep", "comp", F.lit(0).alias("side"), spot("up", "up").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"))
-    every = at.select("key", "rep", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("up") - 1)).alias("i"), spot("down", "down").alias("j"))
-    blocks = minor.unionByName(every).join(sets, "rep")
+    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("minor"))
+    shape = table(main.select("key", "n", "main", F.ceil(F.col("minor") / BLOCK).cast("int").alias("up"), F.ceil(F.col("n") / BLOCK).cast("int").alias("down")))
+    at = table(join_split(left, shape, "key", left.count()))
+    spot = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    minor = at.where("comp <> main").select("key", "node", "comp", F.lit(0).alias("side"), spot("up", "up").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"))
+    every = at.select("key", "node", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("up") - 1)).alias("i"), spot("down", "down").alias("j"))
+    blocks = minor.unionByName(every).join(sets, "node")
 
     def forest(block: pa.Table) -> pa.Table:
         return _block(block, percent)
@@ -244,8 +260,9 @@ def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that are near-duplicates of one of smaller doc_id; same columns.
 
-    Rows of null doc_id stay.  Rows that repeat a doc_id go together: all of them as soon as one
-    of their texts has a near-duplicate of smaller doc_id.
+    Rows of null doc_id stay.  Rows that repeat a doc_id are each judged by their own text; rows
+    that repeat a doc_id and its text stay or go together.
     """
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(table(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = _groups(docs, shingle, percent, COORDS, ROWS).where(F.col("doc_id") != _component()).select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m")).distinct()
+    mine = (F.col("doc_id").cast("long") == F.col("__i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__m"))
+    return docs.join(table(gone), mine, "left_anti").select(*docs.columns)

@@ -6,8 +6,11 @@ import pyarrow as pa
 import pytest
 from helpers import WORD, docs, odd_rows, sentence, vocabulary
 
+from pyspark.sql import functions as F
+
 from lexispark.llm import minhash
-from lexispark.llm.components import connected_components
+from lexispark.llm.common import join_split
+from lexispark.llm.components import connected_components, grow_components
 from lexispark.llm.minhash import keep_representatives, near_duplicates, overlaps, sketch
 from lexispark.llm.textvec import pieces
 
@@ -97,7 +100,34 @@ def test_repeated_id_with_other_text(spark):
     rows = [(1, "a b c d e f"), (2, "q r s t u v"), (2, "a b c d e f")]
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs(spark, rows), 2).collect()) == [(1, 1), (2, 1), (2, 2)]
     left = keep_representatives(docs(spark, rows), 2)
-    assert [r.doc_id for r in left.collect()] == [1] and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted((r.doc_id, r.text[0]) for r in left.collect()) == [(1, "a"), (2, "q")] and left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_repeated_id_with_a_near_copy(spark):
+    """A text that shares nothing but its doc_id with a near copy is left alone."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(1, " ".join(base)), (2, near), (2, "quite another text of its own"), (3, near), (3, near)]
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs(spark, rows), 2).collect()]
+    assert sorted(out) == [(1, 59, 1, True), (2, 5, 2, True), (2, 59, 1, False), (3, 59, 1, False), (3, 59, 1, False)]
+    left = sorted((r.doc_id, r.text) for r in keep_representatives(docs(spark, rows, extra=True), 2).collect())
+    assert left == [(1, " ".join(base)), (2, "quite another text of its own")]
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(1, "a")] * 9000 + [(k, "b") for k in range(2, 5000)] + [(None, "c")], "k long, v string")
+    side = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k % 2 = 1").withColumn("w", F.col("k") * 2)
+    for how in ("inner", "left"):
+        got = join_split(rows, side, "k", rows.count(), how).select("k", "v", "w")
+        want = rows.join(side, "k", how).select("k", "v", "w")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_components_grow(spark):
+    known = spark.createDataFrame([(k, k) for k in range(1, 9)], "node long, component long")
+    one = grow_components(known, spark.createDataFrame([(1, 2), (3, 4)], "a long, b long"))
+    two = grow_components(one, spark.createDataFrame([(2, 4), (5, 6), (6, 6)], "a long, b long"))
+    assert sorted((r.node, r.component) for r in two.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 8)]
 
 
 def test_sketch_fills_and_estimates():
