@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored as table  # noqa: F401  tables in the shared folder
@@ -24,6 +24,22 @@ def join_split(rows: DataFrame, side: DataFrame, key: str, total: int, how: str
     return near.unionByName(far)
 
 
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with a column for each of ``sums``: the total of that expression over all rows before, in the order.
+
+    Rows are dealt into ranges of the order; each range is summed on its own and starts from the
+    ranges before it, so the only window over everything has one row for each range.
+    """
+    placed = table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftrightunsigned("__at", 33))
+    earlier = (Window.unboundedPreceding, -1)
+    parts = placed.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    starts = parts.select(F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__{n}").over(Window.orderBy("__range").rowsBetween(*earlier)), F.lit(0)).alias(f"__{n}") for n in sums))
+    inside = Window.partitionBy("__range").orderBy("__at").rowsBetween(*earlier)
+    out = placed.join(starts, F.col("__range") == F.col("__r"))
+    return out.select(*df.columns, *((F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
 def unit_hash(*columns: Column | str, seed: str) -> Column:
     """A double in [0, 1) that depends on the columns and the seed alone."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)

@@ -9,7 +9,7 @@ from .chat import format_conversations, loss_text
 from .cotraining import score_quality
 from .decontaminate import find_leaks
 from .langid import identify_languages
-from .mixing import BLOCK_BITS, BLOCK_WORDS, plan_mix
+from .mixing import BLOCK_BITS, BLOCK_WORDS, LEVELS, SEED, plan_mix
 from .minhash import near_duplicates
 from .passages import dedup_passages
 from .rules import quality_rules
@@ -67,7 +67,8 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mix(_read(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",")
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), shards.alias("shards"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,34 +106,36 @@ FROM fits WHERE k = 1
 """
 
 
-ORACLES = {
-    "op5_extendible_sharding": sharding_sql(SHARD_BYTES),
-    "op8_minhash_near_dedup": r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_distinct(list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i + 1])) END AS s
-  FROM words),
-items AS (SELECT doc_id, unnest(s) AS x FROM sets),
-codes AS (SELECT doc_id, hash(x) AS x FROM items),
-common AS (
-  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n
-  FROM codes p JOIN codes q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
-links AS (
-  SELECT a, b FROM common JOIN sets sa ON sa.doc_id = a JOIN sets sb ON sb.doc_id = b
-  WHERE 100 * n >= 80 * (len(sa.s) + len(sb.s) - n)),
-edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (
-  SELECT doc_id AS a, doc_id AS b FROM documents
-  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
-FROM sets JOIN comps ON a = doc_id
-""",
-    "op9_mix_sources": rf"""
-WITH sized AS (
+def _urn_sql(level: int) -> str:
+    """One level of the splitting tree: t{level} (node, grp, source, q) halved into t{level + 1}, by two draws block by block."""
+    def walk(urns: str, name: str) -> str:
+        unit = f"('0x' || substr(md5('{SEED}/' || urn || '/' || r), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE"
+        return f"""
+{name}(urn, r, lack, went) AS (
+  SELECT DISTINCT urn, n, lack, false FROM {urns}
+  UNION ALL SELECT urn, r - 1, lack - hit::INTEGER, hit FROM (SELECT *, {unit} * r < lack AS hit FROM {name} WHERE r > 0))"""
+
+    def drawn(urns: str, name: str, keys: str) -> str:
+        return f"SELECT {keys}, count(w.urn)::BIGINT AS x FROM {urns} u LEFT JOIN {name} w ON w.urn = u.urn AND went AND n - r > upto - q AND n - r <= upto GROUP BY ALL"
+
+    return f"""
+a{level} AS (
+  SELECT *, sum(q) OVER (PARTITION BY node ORDER BY grp)::BIGINT AS upto, sum(q) OVER (PARTITION BY node)::BIGINT AS n,
+    sum(q) OVER (PARTITION BY node)::BIGINT // 2 AS lack, node::VARCHAR AS urn
+  FROM (SELECT node, grp, sum(q)::BIGINT AS q FROM t{level} GROUP BY ALL)),{walk(f"a{level}", f"v{level}")},
+g{level} AS MATERIALIZED ({drawn(f"a{level}", f"v{level}", "u.node, u.grp")}),
+b{level} AS MATERIALIZED (
+  SELECT t.*, sum(q) OVER (PARTITION BY t.node, t.grp ORDER BY source NULLS LAST)::BIGINT AS upto, sum(q) OVER (PARTITION BY t.node, t.grp)::BIGINT AS n,
+    g.x AS lack, t.node || '/' || t.grp AS urn
+  FROM t{level} t JOIN g{level} g ON g.node = t.node AND g.grp = t.grp),{walk(f"b{level}", f"w{level}")},
+h{level} AS MATERIALIZED ({drawn(f"b{level}", f"w{level}", "u.node, u.grp, u.source, u.q")}),
+t{level + 1} AS MATERIALIZED (SELECT 2 * node AS node, grp, source, x AS q FROM h{level} UNION ALL SELECT 2 * node + 1, grp, source, q - x FROM h{level})"""
+
+
+def mixing_sql() -> str:
+    """DuckDB SQL for op9, the splitting tree included."""
+    return rf"""
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
@@ -161,18 +164,58 @@ ends AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY block) AS upto
 quotas AS (
   SELECT *, upto - words AS low, least(target, source_size::DOUBLE) AS q0,
     least(greatest(target - source_size, 0), source_size::DOUBLE) AS q1 FROM ends),
-takes AS (
+takes AS MATERIALIZED (
   SELECT source, block, (q0 > 0 AND upto <= q0)::INTEGER + (q1 > 0 AND upto <= q1)::INTEGER AS n,
     CASE WHEN low < q1 AND q1 < upto THEN q1 - low WHEN low < q0 AND q0 < upto THEN q0 - low END AS part
   FROM quotas),
+copies AS (SELECT source, block, unnest(range(0, n + (part IS NOT NULL)::INTEGER)) AS epoch, n FROM takes),
+taken AS MATERIALIZED (
+  SELECT *, epoch >= n AS partial, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}/' || block || '/' || epoch), block, epoch) AS rank FROM copies),
+counts AS (SELECT source, count(*)::BIGINT AS q FROM taken GROUP BY source),
+t0 AS MATERIALIZED (
+  SELECT 0::BIGINT AS node, ('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % (floor(sqrt((SELECT count(*) FROM counts) - 1))::BIGINT + 1) AS grp, source, q
+  FROM counts),{",".join(_urn_sql(k) for k in range(LEVELS))},
+shares AS (SELECT source, node AS shard, q, sum(q) OVER (PARTITION BY source ORDER BY node) AS upto FROM t{LEVELS}),
+homes AS MATERIALIZED (
+  SELECT t.source, t.block, t.epoch, t.partial, s.shard
+  FROM taken t JOIN shares s ON t.source IS NOT DISTINCT FROM s.source AND t.rank > s.upto - s.q AND t.rank <= s.upto),
 docs AS (
-  SELECT p.*, n, part,
+  SELECT p.*, part, row_number() OVER () AS row,
     coalesce(sum(size) OVER (PARTITION BY p.source, p.block ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM placed p JOIN takes t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block)
-SELECT doc_id, size, source_size, target,
-  (size * (n + CASE WHEN part IS NOT NULL AND 2 * before + size <= 2 * part THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM docs
+SELECT doc_id, size, source_size, target, (size * count(epoch))::BIGINT AS taken, coalesce(string_agg(shard::VARCHAR, ',' ORDER BY epoch), '') AS shards
+FROM docs d LEFT JOIN homes x ON d.source IS NOT DISTINCT FROM x.source AND d.block = x.block AND (NOT partial OR (before < part AND 2 * before + size <= 2 * part))
+GROUP BY row, doc_id, size, source_size, target
+"""
+
+
+ORACLES = {
+    "op5_extendible_sharding": sharding_sql(SHARD_BYTES),
+    "op8_minhash_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+codes AS (SELECT doc_id, hash(x) AS x FROM items),
+common AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n
+  FROM codes p JOIN codes q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets sa ON sa.doc_id = a JOIN sets sb ON sb.doc_id = b
+  WHERE 100 * n >= 80 * (len(sa.s) + len(sb.s) - n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN comps ON a = doc_id
 """,
+    "op9_mix_sources": mixing_sql(),
     "op6_chat_formatting": rf"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

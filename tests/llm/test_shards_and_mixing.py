@@ -5,7 +5,10 @@ import duckdb
 import pytest
 from helpers import WORD, docs, odd_rows, sentence, vocabulary
 
+from pyspark.sql import functions as F
+
 from lexispark.llm import mixing
+from lexispark.llm.common import sums_before
 from lexispark.llm.mixing import mix_sources, plan_mix, source_targets, split_quotas
 from lexispark.llm.queries import sharding_sql
 from lexispark.llm.shards import shard_documents
@@ -124,3 +127,36 @@ def test_mix_of_odd_rows(spark):
     assert plan_mix(docs(spark, [])).count() == 0
     nothing = plan_mix(docs(spark, [(1, None), (2, "")])).collect()
     assert [(r.size, r.target, len(r.copies)) for r in nothing] == [(0, 0.0, 0)] * 2
+
+
+def test_repeated_rows_are_counted_out(spark, monkeypatch):
+    """Of copies of one document where the last block ends, as many go along as fit."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 200)
+    text = " ".join(["word"] * 25)
+    rows = [(1, text, "en", "a")] * 60 + [(k, "some words here", "en", "b") for k in range(2, 400)] + [(k, text, "en", "c") for k in range(400, 440)]
+    planned = plan_mix(docs(spark, rows, extra=True)).collect()
+    assert len(planned) == len(rows)
+    check_mix(spark, rows, planned)
+    again = Counter((r.doc_id, str(r.copies)) for r in plan_mix(docs(spark, rows[::-1])).collect())
+    assert again == Counter((r.doc_id, str(r.copies)) for r in planned)
+
+
+def test_sums_before(spark):
+    values = [(k % 7, k) for k in range(300)] + [(None, 5)] * 3
+    df = spark.createDataFrame(values, "k long, v long").repartition(5)
+    got = sorted(((r.k, r.v, r.s, r.n) for r in sums_before(df, [F.col("k").asc_nulls_last(), F.col("v").asc()], {"s": F.col("v"), "n": F.lit(1)}).collect()), key=lambda r: r[3])
+    total = 0
+    for n, (k, v) in enumerate(sorted(values, key=lambda x: (x[0] is None, x))):
+        assert got[n] == (k, v, total, n)
+        total += v
+
+
+def test_mix_of_many_sources(spark):
+    """More sources than a range or a group of the draws holds: quotas stay exact."""
+    quotas = {f"site{k}": k % 5 for k in range(500)}
+    rows = split_quotas(spark.createDataFrame(list(quotas.items()), "source string, quota long")).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in rows:
+        by_source[r.source] += r.quota
+        by_shard[r.shard] += r.quota
+    assert by_source == Counter(quotas) and len(by_shard) == 16 and max(by_shard.values()) - min(by_shard.values()) <= 1
