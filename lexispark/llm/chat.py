@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprinting.
 
-The nested field paths of a layout are sorted and hashed; the fingerprint selects a declarative
-mapping to canonical turns, an array of (role, text).  A layout may be a table's own schema, or
-differ from row to row in a column of JSON.  The template marks turns and escapes its control
-characters inside texts, so that a formatted conversation can be read back exactly.
+The nested field paths of a record that a layout names are sorted and hashed; where that is the
+layout's own fingerprint, its declarative mapping makes canonical turns, an array of (role, text).
+Layouts of more fields are tried first, and further fields do no harm.  A layout may be a table's
+own schema, or differ from row to row in a column of JSON; one registry serves both.  The
+template marks turns and escapes its control characters inside texts, so that a formatted
+conversation can be read back exactly.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ LAYOUTS = {
     "instruction_input": (("input", "instruction", "output"), "array(named_struct('role', 'user', 'text', concat_ws('\\n', variant_get(j, '$.instruction', 'string'), nullif(variant_get(j, '$.input', 'string'), ''))), named_struct('role', 'assistant', 'text', variant_get(j, '$.output', 'string')))"),
     "question_answer": (("answer", "question"), "array(named_struct('role', 'user', 'text', variant_get(j, '$.question', 'string')), named_struct('role', 'assistant', 'text', variant_get(j, '$.answer', 'string')))"),
 }
-#: The layout of a table with a row for each turn.
+#: The layout of a table with a row for each turn; its mapping gathers the rows of a conversation.
 TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: All layouts by name, those of more fields first.
+REGISTRY = dict(sorted({"turn_rows": TURN_ROWS, **{name: paths for name, (paths, _) in LAYOUTS.items()}}.items(), key=lambda x: (-len(x[1]), x[0])))
+_ARRAYS = sorted({p.split("[]")[0] for paths in REGISTRY.values() for p in paths if "[]" in p})
 
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
@@ -45,45 +50,64 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def json_fingerprint(j: str) -> Column:
-    """The fingerprint of the field paths of a variant column, up to two array levels deep.
+def layout_of(paths: list[str]) -> str | None:
+    """The first layout whose fingerprint is that of the paths it names among these."""
+    return next((name for name, own in REGISTRY.items() if fingerprint([p for p in set(paths) if p in own]) == fingerprint(own)), None)
 
-    Only one array of objects is looked into: the first element decides its fields.
-    """
-    keys = f"""flatten(transform(coalesce(json_object_keys(to_json({j})), cast(array() as array<string>)), k ->
-      coalesce(transform(json_object_keys(get_json_object(to_json({j}), concat('$.', k, '[0]'))), s -> concat(k, '[].', s)),
-               transform(json_object_keys(get_json_object(to_json({j}), concat('$.', k))), s -> concat(k, '.', s)), array(k))))"""
-    return F.expr(f"left(sha2(concat_ws('\\n', sort_array({keys})), 256), 16)")
+
+def json_paths(j: str) -> Column:
+    """The field paths of a variant column that some layout may name: its keys, and the keys of any element of its arrays."""
+    keys = lambda x: f"coalesce(json_object_keys(to_json({x})), cast(array() as array<string>))"
+    inner = [f"flatten(transform(coalesce(try_variant_get({j}, '$.{a}', 'array<variant>'), cast(array() as array<variant>)), m -> transform({keys('m')}, s -> concat('{a}[].', s))))" for a in _ARRAYS]
+    return F.expr(f"array_distinct(concat({', '.join([keys(j), *inner])}))")
+
+
+def _mapped(rows: DataFrame) -> DataFrame:
+    """rows, which have a variant __j and its paths __p, with layout and turns in their place."""
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for name in reversed([n for n in REGISTRY if n in LAYOUTS]):
+        own, mapping = LAYOUTS[name]
+        found = F.array_sort(F.array_intersect("__p", F.array(*map(F.lit, own))))
+        hit = F.left(F.sha2(F.concat_ws("\n", found), 256), F.lit(16)) == fingerprint(own)
+        layout = F.when(hit, F.lit(name)).otherwise(layout)
+        turns = F.when(hit, F.expr(mapping.replace("variant_get(j,", "try_variant_get(__j,"))).otherwise(turns)
+    tidy = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    out = rows.withColumn("turns", tidy)
+    return out.withColumn("layout", F.when(F.col("turns").isNotNull(), layout)).drop("__j", "__p")
 
 
 def turns_of_json(rows: DataFrame, column: str) -> DataFrame:
     """rows with layout and turns for a column of JSON documents of any of the LAYOUTS.
 
-    The fingerprint of a row's own fields selects its mapping.  Null, malformed or unknown
-    layouts give null layout and null turns; null texts and roles count as empty.  The columns
+    The fingerprint of a row's own fields selects its mapping; fields that no layout names are
+    passed over.  Null, malformed or unknown layouts give null layout and null turns, and
+    layout_counts counts them; null or missing texts and roles count as empty.  The columns
     layout and turns are replaced if rows has them.
     """
     rows = rows.drop("layout", "turns").withColumn("__j", F.expr(f"try_parse_json(`{column}`)"))
-    rows = rows.withColumn("__f", json_fingerprint("__j"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, mapping) in LAYOUTS.items():
-        hit = F.col("__f") == fingerprint(paths)
-        layout = F.when(hit, F.lit(name)).otherwise(layout)
-        turns = F.when(hit, F.expr(mapping.replace("(j,", "(__j,"))).otherwise(turns)
-    tidy = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return rows.withColumn("layout", layout).withColumn("turns", tidy).drop("__j", "__f")
+    return _mapped(rows.withColumn("__p", json_paths("__j")))
+
+
+def layout_counts(rows: DataFrame) -> DataFrame:
+    """(layout, n) of rows that turns_of_json has mapped; a null layout counts those without a mapping."""
+    return rows.groupBy("layout").agg(F.count("*").alias("n"))
 
 
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) from a table with a row for each turn, chosen by the table's fingerprint.
+def canonical_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turns) from a table of any layout in the registry, chosen by the fingerprint of its schema.
 
-    The four fields of the layout decide; further columns are ignored.  Turns are in order of
-    turn (null first), then role, then text, so ties and repeated rows have one order.  Null
-    texts and roles count as empty; rows of null conv_id form one conversation.
+    A table of turns has a row for each turn: they are in order of turn (null first), then role,
+    then text, so ties and repeated rows have one order, and rows of null conv_id form one
+    conversation.  Of any other layout each row is a conversation, and it needs a conv_id.  Null
+    texts and roles count as empty; further columns are ignored; no rows give no rows.
     """
-    own = [p for p in field_paths(rows.schema) if p in TURN_ROWS]
-    if fingerprint(own) != fingerprint(TURN_ROWS):
+    name = layout_of(field_paths(rows.schema))
+    if name is None or "conv_id" not in rows.columns:
         raise ValueError(f"no mapping for a table with the fields {sorted(field_paths(rows.schema))}")
+    if name != "turn_rows":
+        fields = sorted({p.split("[]")[0] for p in REGISTRY[name]})
+        whole = rows.select("conv_id", F.expr(f"to_variant_object(named_struct({', '.join(f'{f!r}, `{f}`' for f in fields)}))").alias("__j"))
+        return _mapped(whole.withColumn("__p", F.array(*map(F.lit, REGISTRY[name])))).select("conv_id", F.coalesce("turns", F.array().cast(TURNS)).alias("turns"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = F.sort_array(F.collect_list(F.struct("turn", text("role"), text("text"))))
     return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
@@ -130,6 +154,6 @@ def loss_text(turns: Column, role: str = "assistant") -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns) of a table of turns; turns are read back from formatted."""
-    made = turns_of_rows(rows).select("conv_id", format_turns(F.col("turns")).alias("formatted"))
+    """(conv_id, formatted, turns) of a table of any layout; turns are read back from formatted."""
+    made = canonical_turns(rows).select("conv_id", format_turns(F.col("turns")).alias("formatted"))
     return made.withColumn("turns", read_turns(F.col("formatted")))
