@@ -1,9 +1,10 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over every row that may be learned from.  The weights are
-learned from a sample of at most about ``MAX_PER_LANGUAGE`` whole texts a language, drawn by
-hash, with follow-the-regularised-leader steps and an elastic-net penalty; a part of the sample
-is held back to calibrate the temperature of the scores.
+learned from a sample of at most about ``MAX_PER_LANGUAGE`` whole texts of each of the
+``MAX_LANGUAGES`` commonest languages, drawn by hash, with follow-the-regularised-leader steps
+and an elastic-net penalty; a part of the sample is held back to calibrate the temperature of the
+scores.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .linear import Ftrl, softmax, temperature
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 14
-MAX_PER_LANGUAGE = 400
+MAX_PER_LANGUAGE, MAX_LANGUAGES, MAX_SAMPLE = 400, 256, 20_000
 EPOCHS = 4
 #: A document is kept when its score is so many times that of a guess among the languages (see least_score).
 LEAST_LIFT = 1.1
@@ -46,7 +47,8 @@ def gram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a text has a character of a Unicode category L."""
+    return text is not None and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,11 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
     df = np.zeros(BUCKETS + 1)
     df[seen["bucket"].to_numpy(int)] = seen["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sizes = rows.groupBy("lang").count()
-    picked = rows.join(F.broadcast(sizes.where("count > 0")) if sizes.count() <= 10_000 else sizes, "lang").where(unit_hash("doc_id", seed="langid") * F.col("count") < per_language)
+    # at most MAX_LANGUAGES rows, so they can come to every task
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    spot = unit_hash("doc_id", "text", seed="fold")
+    picked = rows.join(F.broadcast(common), "lang").where(unit_hash("doc_id", "text", seed="langid") * F.col("n") < per_language)
+    picked = picked.select("lang", "text", spot.alias("spot")).dropDuplicates(["lang", "spot"]).limit(MAX_SAMPLE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +110,7 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
                 ["lang", "at", "v", "spot"],
             )
 
-    sample = picked.select("lang", "text", unit_hash("doc_id", "text", seed="fold").alias("spot")).mapInArrow(features, "lang string, at array<int>, v array<float>, spot double")
+    sample = picked.mapInArrow(features, "lang string, at array<int>, v array<float>, spot double")
     sample = sample.toArrow().to_pandas().sort_values(["spot", "lang"]).reset_index(drop=True)
     languages = sorted(sample["lang"].unique())
     if not languages:
@@ -145,7 +150,8 @@ def identify_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) ->
     """docs with held_out, lang_pred and score, learned from rows whose crc32(doc_id) mod 4 is not 2.
 
     lang_pred is a language seen in learning, or 'und' with score 0 when the text is null or has
-    no letter, or when there was nothing to learn from.  Null lang is never learned; a row of
+    no letter, or when there was nothing to learn from.  Null lang is never learned, nor are tags
+    beyond the MAX_LANGUAGES commonest; a row of
     null doc_id is scored, not learned from, and not held out.  Rows that repeat are scored
     alike.  No rows give no rows.  lang, source and doc_id never enter a prediction.
     """

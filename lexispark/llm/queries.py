@@ -13,7 +13,7 @@ from .mixing import BLOCK_BITS, BLOCK_WORDS, LEVELS, SEED, plan_mix
 from .minhash import near_duplicates
 from .passages import dedup_passages
 from .rules import quality_rules
-from .shards import SHARD_BYTES, shard_documents, text_bytes
+from .shards import shard_documents, text_bytes
 from .toxicity import score_toxicity
 
 
@@ -60,9 +60,13 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
+#: A limit that splits buckets several times over even on the smallest tables.
+QUERY_SHARD_BYTES = 256 << 10
+
+
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").withColumn("n_bytes", text_bytes())
-    return shard_documents(docs).select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_oversize")
+    return shard_documents(docs, QUERY_SHARD_BYTES).select("doc_id", "n_bytes", "shard_id", "shard_depth", "shard_bytes", "shard_oversize")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +194,7 @@ GROUP BY row, doc_id, size, source_size, target
 
 
 ORACLES = {
-    "op5_extendible_sharding": sharding_sql(SHARD_BYTES),
+    "op5_extendible_sharding": sharding_sql(QUERY_SHARD_BYTES),
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -43,15 +43,20 @@ def _repeated(p: Piece) -> np.ndarray:
     return np.bincount(row[cover], minlength=p.rows)
 
 
+def piece_counts(p: Piece) -> list[pa.Array]:
+    """The COUNTS of the documents of a piece."""
+    chars = p.word & ((p.data & 0xC0) != 0x80)
+    lines = np.array([_lines(p.text(i)) for i in range(p.rows)], np.int64).reshape(-1, 2)
+    upper = (p.data >= 65) & (p.data <= 90)
+    digits = (p.data >= 48) & (p.data <= 57)
+    columns = [p.n_words, p.per_row(chars), p.per_row(IS_SYMBOL[p.data]), lines[:, 1], _repeated(p), lines[:, 0], p.per_row(upper), p.per_row(_MARK[p.data]), p.per_row(digits), np.diff(p.offsets)]
+    return [pa.array(np.asarray(c, np.int64)) for c in columns]
+
+
 def _count(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ("doc_id",)) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch.column("text")):
-            chars = p.word & ((p.data & 0xC0) != 0x80)
-            lines = np.array([_lines(p.text(i)) for i in range(p.rows)], np.int64).reshape(-1, 2)
-            upper = (p.data >= 65) & (p.data <= 90)
-            digits = (p.data >= 48) & (p.data <= 57)
-            columns = [p.n_words, p.per_row(chars), p.per_row(IS_SYMBOL[p.data]), lines[:, 1], _repeated(p), lines[:, 0], p.per_row(upper), p.per_row(_MARK[p.data]), p.per_row(digits), np.diff(p.offsets)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(p.first, p.rows) for c in keep), *(pa.array(np.asarray(c, np.int64)) for c in columns)], [*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(p.first, p.rows) for c in keep), *piece_counts(p)], [*keep, *COUNTS])
 
 
 def text_counts(docs: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:

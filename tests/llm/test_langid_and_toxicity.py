@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 from helpers import docs, odd_rows, sentence
 
-from lexispark.llm.langid import gram_counts, identify_languages, keep_known_languages, least_score
+from lexispark.llm import langid
+from lexispark.llm.langid import gram_counts, has_letter, identify_languages, keep_known_languages, least_score
 from lexispark.llm.linear import Ftrl, softmax, temperature
 from lexispark.llm.toxicity import IDENTITIES, features, learn_toxicity, score_toxicity
 from lexispark.llm.textvec import pieces
@@ -54,6 +55,16 @@ def test_one_language_stays(spark):
     assert least_score(1) == 1.0 and abs(least_score(4) - 1.1 / 4) < 1e-12 and all(least_score(n, 5) < 1 for n in range(2, 9))
 
 
+def test_numerals_are_no_letters():
+    assert not any(has_letter(t) for t in (None, "", "½ ²", "Ⅷ 12", "_", "٣")) and all(has_letter(t) for t in ("½ a", "ª", "日", "ß"))
+
+
+def test_dirty_tags_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = corpus(5) + [(1000 + k, f"tag {k}", f"x-{k}", "s") for k in range(40)] + [(2000, "der die und mit dass von haben", "de", "s")] * 50
+    assert {r.lang_pred for r in identify_languages(docs(spark, rows)).collect()} <= {"en", "de", "fr"}
+
+
 def test_grams_see_the_whole_text():
     assert gram_counts("ab" * 3).sum() == 6 + 5 + 4
     assert gram_counts("").sum() == 0 and gram_counts("\ud800").sum() == 1

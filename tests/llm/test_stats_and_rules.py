@@ -3,7 +3,8 @@ import random
 import numpy as np
 from helpers import WORD, docs, odd_rows, sentence, vocabulary
 
-from lexispark.llm.cotraining import cotrain, score_quality
+from lexispark.llm import cotraining
+from lexispark.llm.cotraining import score_quality
 from lexispark.llm.rules import Rule, Term, learn_rules, quality_rules, rule_expression
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -90,13 +91,30 @@ def test_cotraining_odd_input(spark):
     assert score_quality(docs(spark, odd_rows()), some).count() == 11
 
 
-def test_views_teach_each_other():
-    """With few labels, pseudo-labels of the good view make the other view better than labels alone."""
-    rng = np.random.default_rng(4)
-    y = rng.random(1300) < 0.5
-    a, b = (y[:, None] * 2 - 1 + rng.normal(0, 0.5, (1300, 2)) for _ in range(2))
-    few, pool = slice(0, 24), slice(24, 700)
-    model = cotrain((a[few], b[few]), y[few].astype(int), (a[pool], b[pool]), np.linspace(0, 1, 24))
-    test = slice(700, 1300)
-    score = sum(m * v.logit(x[test]) for m, v, x in zip(model.mix, model.views, (a, b), strict=False)) + model.mix[2]
-    assert np.mean((score > 0) == y[test]) > 0.97
+def test_views_teach_each_other(spark, monkeypatch):
+    """With few labels, pseudo-labels of one view teach the other what is not in the labelled rows."""
+    rng, words = random.Random(4), vocabulary(4, 40)
+    good, bad = words[:20], words[20:]
+    rows = []
+    for k in range(900):
+        fine = k % 2 == 0
+        mine = good if fine else bad
+        rows.append((k, " ".join(rng.choice(mine if rng.random() < 0.8 else words) for _ in range(60)), "en", rng.choice("abcd" if fine else "wxyz")))
+    # labelled rows name two of eight sources only
+    some = [r for r in rows if r[3] in "aw"][:40]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 2 == 0), 0) for r in some], LABELS)
+    right = {}
+    for rounds in (0, 5):
+        monkeypatch.setattr(cotraining, "ROUNDS", rounds)
+        out = {r.doc_id: r.metadata_score for r in score_quality(docs(spark, rows), labels).collect()}
+        right[rounds] = np.mean([(out[r[0]] >= 0.5) == (r[0] % 2 == 0) for r in rows if r[3] not in "aw"])
+    assert right[5] > 0.95 > 0.8 > right[0]
+
+
+def test_draws_are_bounded_when_labels_outnumber_documents(spark, monkeypatch):
+    drawn, whole = [], cotraining._draw
+    monkeypatch.setattr(cotraining, "_draw", lambda *a: drawn.append(whole(*a)) or drawn[-1])
+    rows = corpus(5)
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(80, 2000)], LABELS)
+    assert score_quality(docs(spark, rows + rows[:30] * 5), labels, 40, 10).count() == len(rows) + 150
+    assert drawn and len(drawn[0]) <= 40 and all(len(d) <= 10 for d in drawn[1:])
