@@ -17,16 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, unit_hash
+from .common import crc_bucket, table, unit_hash
 from .linear import Ftrl, sigmoid
 from .textvec import Piece, pieces
 
 BITS, STEM, LEVELS = 20, 6, (1, 2, 3, 5)
 FEATURE_BITS = BITS + 3
-MAX_SAMPLE = 16_000
+#: Labelled rows that are learned from, and the bytes of their texts: the tighter bound holds.
+MAX_SAMPLE, MAX_BYTES = 16_000, 128 << 20
 MIN_DOCS = 4
 EPOCHS = 8
 SWAP_PENALTY = 4.0
+L1 = 30.0
+#: How much more a toxic row counts in learning than another.
+TOXIC_WEIGHT = 2.0
 
 #: Identity terms by group: a term may be swapped for any other of its group.
 IDENTITIES = (
@@ -125,7 +129,7 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = SWAP_PENALTY, seed: int = 3) -> ToxicityModel:
+def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = SWAP_PENALTY, l1: float = L1, weight: float = TOXIC_WEIGHT, seed: int = 3) -> ToxicityModel:
     """A model from sets of features and 0/1 labels; without both labels it scores the base rate."""
     rate = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
     base = float(np.log(rate / (1 - rate)))
@@ -143,14 +147,14 @@ def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = S
     groups = [np.searchsorted(kept, g) for g in groups]
     group_of = {int(t): g for g in groups for t in g}
     bias = len(kept)
-    model = Ftrl(bias + 1, 1, alpha=0.3, l1=15.0, l2=1.0)
+    model = Ftrl(bias + 1, 1, alpha=0.3, l1=l1, l2=1.0)
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(docs)):
             ids = np.append(docs[k], bias)
             swapped = [(int(t), group_of[int(t)]) for t in docs[k] if int(t) in group_of]
             w = model.weights(ids)[:, 0]
-            gradient = np.full(len(ids), sigmoid(w.sum()) - toxic[k])
+            gradient = np.full(len(ids), (weight if toxic[k] else 1.0) * (sigmoid(w.sum()) - toxic[k]))
             model.step(ids, gradient[:, None], w[:, None])
             if swapped:
                 out = np.array([t for t, _ in swapped])
@@ -164,13 +168,16 @@ def learn_toxicity(docs: list[np.ndarray], toxic: np.ndarray, penalty: float = S
     return ToxicityModel(kept[at], w[at], float(w[-1]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> ToxicityModel:
-    """Learn from about max_sample labelled rows, by hash, of those whose crc32(doc_id) mod 5 is not 0."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Learn from labelled rows, by hash, of those whose crc32(doc_id) mod 5 is not 0: about max_sample, or max_bytes of text."""
     marks = labels.where("doc_id is not null and toxic is not null").where(crc_bucket("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = marks.count()
+    marks = table(marks.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("size")).join(marks, F.col("doc_id") == F.col("id"))
+    total, n_bytes = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if total == 0:
         return learn_toxicity([], np.zeros(0))
-    picked = marks.where(unit_hash("doc_id", seed="toxicity") < min(1.0, max_sample / total)).select(F.col("doc_id").alias("id"), "toxic")
+    chance = min(1.0, max_sample / total, max_bytes / max(1, n_bytes))
+    picked = marks.where(unit_hash("id", seed="toxicity") < chance)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
                 found += [pair[a:b] & ((1 << FEATURE_BITS) - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "ids"])
 
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"]).limit(2 * max_sample)
     rows = sample.mapInArrow(rows_of, "doc_id long, toxic int, ids array<int>").toArrow().to_pandas()
     rows = rows.assign(n=rows["ids"].map(len)).sort_values(["doc_id", "n"])
     toxic = (rows["toxic"].to_numpy() > 0).astype(float)
@@ -191,7 +198,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, from the whole text alone.
 
-    Null and empty texts have the score of the intercept.  Null labels are not learned; of labels
+    Null and empty texts have the score of the intercept.  Rows that repeat are learned once.  Null labels are not learned; of labels
     that repeat a doc_id the greatest counts.  A row of null doc_id is scored and not held out.
     Rows that repeat are scored alike; no rows give no rows; without both kinds of labels the
     score is the base rate.  Further columns are not read.

@@ -8,7 +8,7 @@ from helpers import docs, odd_rows, sentence
 from lexispark.llm import langid
 from lexispark.llm.langid import gram_counts, has_letter, identify_languages, keep_known_languages, least_score
 from lexispark.llm.linear import Ftrl, softmax, temperature
-from lexispark.llm.toxicity import IDENTITIES, features, learn_toxicity, score_toxicity
+from lexispark.llm.toxicity import IDENTITIES, SWAP_PENALTY, features, learn_toxicity, score_toxicity
 from lexispark.llm.textvec import pieces
 
 WORDS = {
@@ -144,3 +144,30 @@ def test_toxicity_odd_input(spark):
     out = score_toxicity(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
     assert len(out) == 101 and all(0 <= r.score <= 1 for r in out)
     assert score_toxicity(docs(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_penalty_spares_neutral_mentions():
+    """Groups are named in most toxic rows and few others: only with the penalty are neutral mentions left alone, at equal recall."""
+    rng = random.Random(11)
+    plain, insults = "walk talk river stone garden music paper window summer people come go see".split(), [f"slur{k}" for k in range(12)]
+    terms = ["muslims", "gay", "black", "immigrants"]
+
+    def row(toxic, named):
+        words = sentence(rng, rng.randint(5, 30), plain).split()
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+        if named:
+            words.insert(rng.randrange(len(words)), rng.choice(terms))
+        return " ".join(words)
+
+    learn = [(row(k % 3 == 0, rng.random() < (0.9 if k % 3 == 0 else 0.01)), float(k % 3 == 0)) for k in range(3000)]
+    neutral, toxic = pa.array([row(False, True) for _ in range(300)]), pa.array([row(True, k % 2 == 0) for k in range(300)])
+    sets = []
+    for text, _ in learn:
+        (p,) = pieces(pa.array([text]))
+        sets.append(features(p) & ((1 << 23) - 1))
+    rates = {}
+    for penalty in (0.0, SWAP_PENALTY):
+        model = learn_toxicity(sets, np.array([y for _, y in learn]), penalty)
+        rates[penalty] = np.mean(model.scores(neutral) >= 0.5), np.mean(model.scores(toxic) >= 0.5)
+    assert rates[SWAP_PENALTY][1] >= 0.9 and rates[SWAP_PENALTY][0] <= 0.02 and rates[0.0][0] > 2 * rates[SWAP_PENALTY][0] + 0.05
