@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import stored as table  # noqa: F401  tables in the shared folder
 
 WORD = r"[^\x20\x09-\x0D]+"
-HOT_KEYS = 4096
+HOT_KEYS = 1024
 
 
 def join_split(rows: DataFrame, side: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
@@ -18,10 +18,12 @@ def join_split(rows: DataFrame, side: DataFrame, key: str, total: int, how: str
     rows by broadcast; only the other rows are shuffled by key.  So no key is too much for a task.
     """
     is_hot = F.col("n") * HOT_KEYS > F.lit(max(1, total))
-    hot, cold = side.where(is_hot), side.where(~is_hot)
-    near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
-    return near.unionByName(far)
+    hot = side.where(is_hot)
+    keys = [r[0] for r in hot.select(key).collect()]  # fewer than HOT_KEYS
+    if not keys:
+        return rows.join(side, key, how)
+    among = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return rows.where(among).join(F.broadcast(hot), key).unionByName(rows.where(~among).join(side.where(~is_hot), key, how))
 
 
 def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
