@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import bloom_bits, bloom_hashes, idf
 from ..functions.text import fold, flat_text, is_valid_token, stopword_set, token_count
+from ..sources.readers import with_ordinal
+
+#: Posting lists are walked in ranges of so many document numbers, so no task has to hold a whole list.
+DOC_RANGE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,9 +52,14 @@ def shard_of(doc_id: Column, num_docs: int, shards: int) -> Column:
 
 
 def with_shards(corpus: DataFrame, config: IndexConfig) -> DataFrame:
+    """corpus with shard: contiguous ranges of doc_id, by its rank where ids are not dense from 0."""
     if config.num_shards == 1:
         return corpus.withColumn("shard", F.lit(0))
-    return corpus.withColumn("shard", shard_of(F.col("doc_id"), corpus.count(), config.num_shards))
+    low, high, total = corpus.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    if total == 0 or (low == 0 and high == total - 1):
+        return corpus.withColumn("shard", shard_of(F.col("doc_id"), total, config.num_shards))
+    ranked = with_ordinal(corpus.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "__rank")
+    return ranked.withColumn("shard", shard_of(F.col("__rank"), total, config.num_shards)).drop("__rank")
 
 
 def token_rows(corpus: DataFrame, fields: Sequence[str], config: IndexConfig = IndexConfig(), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -168,21 +177,38 @@ def vocabulary(posts: DataFrame) -> DataFrame:
 
 def index_report(posts: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: documents, tokens, unique terms (summed over shards and fields), postings, high-df terms."""
-    docs = lengths.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("num_tokens"))
-    words = terms.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("num_postings"), F.count(F.when(F.col("is_high_df"), 1)).alias("num_high_df_terms"))
-    one = F.lit(1).alias("one")
-    return docs.select("*", one).join(words.select("*", one), "one").drop("one")
+    sizes = lengths.select(F.lit(1).alias("n"), F.col("doc_len").cast("long").alias("tokens"), *(F.lit(0).cast("long").alias(c) for c in ("terms", "df", "high")))
+    words = terms.select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("tokens"), F.lit(1).cast("long").alias("terms"), "df", F.col("is_high_df").cast("long").alias("high"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return sizes.unionByName(words).agg(total("n", "num_docs"), total("tokens", "num_tokens"), total("terms", "num_terms"), total("df", "num_postings"), total("high", "num_high_df_terms"))
+
+
+LIST = ["shard", "field", "term"]
 
 
-def posting_gaps(posts: DataFrame) -> DataFrame:
-    """(shard, field, term, doc_id, gap): each doc_id less the one before it in its list."""
-    order = W.partitionBy("shard", "field", "term").orderBy("doc_id")
-    return posts.select("shard", "field", "term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("gap"))
+def _in_ranges(posts: DataFrame, width: int) -> tuple[DataFrame, object, object]:
+    """posts with range, a window inside a range of a list, and one over the ranges of a list."""
+    return posts.withColumn("range", F.floor(F.col("doc_id") / width)), W.partitionBy(*LIST, "range").orderBy("doc_id"), W.partitionBy(*LIST).orderBy("range")
 
 
-def tf_runs(posts: DataFrame) -> DataFrame:
-    """(shard, field, term, run, tf, repeats): the run lengths of equal tf in doc_id order."""
-    order = W.partitionBy("shard", "field", "term").orderBy("doc_id")
-    turned = posts.withColumn("turn", F.coalesce((F.col("tf") != F.lag("tf").over(order)).cast("int"), F.lit(0)))
-    runs = turned.withColumn("run", F.sum("turn").over(order))
-    return runs.groupBy("shard", "field", "term", "run", "tf").agg(F.count("*").alias("repeats"))
+def posting_gaps(posts: DataFrame, width: int = DOC_RANGE) -> DataFrame:
+    """(shard, field, term, doc_id, gap): each doc_id less the one before it in its list.
+
+    Gaps are taken inside ranges of doc_id; what is before a range comes from a row for each range.
+    """
+    posts, inside, across = _in_ranges(posts, width)
+    ends = posts.groupBy(*LIST, "range").agg(F.max("doc_id").alias("last"))
+    seams = ends.select(*LIST, "range", F.lag("last", 1, 0).over(across).alias("seam"))
+    before = posts.withColumn("before", F.lag("doc_id").over(inside)).join(seams, [*LIST, "range"])
+    return before.select(*LIST, "doc_id", (F.col("doc_id") - F.coalesce("before", "seam")).alias("gap"))
+
+
+def tf_runs(posts: DataFrame, width: int = DOC_RANGE) -> DataFrame:
+    """(shard, field, term, run, tf, repeats): the run lengths of equal tf in doc_id order, counted inside ranges of doc_id and joined at their seams."""
+    posts, inside, across = _in_ranges(posts, width)
+    turned = posts.withColumn("turn", F.coalesce((F.col("tf") != F.lag("tf").over(inside)).cast("int"), F.lit(0)))
+    ends = turned.groupBy(*LIST, "range").agg(F.min_by("tf", "doc_id").alias("first"), F.max_by("tf", "doc_id").alias("last"), F.sum("turn").alias("turns"))
+    seam = F.coalesce((F.col("first") != F.lag("last").over(across)).cast("int"), F.lit(0))
+    seams = ends.withColumn("seam", seam).withColumn("base", F.sum(F.col("seam") + F.col("turns")).over(across) - F.col("turns")).select(*LIST, "range", "base")
+    runs = turned.withColumn("here", F.sum("turn").over(inside)).join(seams, [*LIST, "range"])
+    return runs.groupBy(*LIST, (F.col("base") + F.col("here")).alias("run"), "tf").agg(F.count("*").alias("repeats"))

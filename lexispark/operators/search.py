@@ -50,27 +50,38 @@ def exact_scores(matched: DataFrame, posts: DataFrame, shards: DataFrame, config
     return contributions(used, posts, shards, config, boosts).groupBy("query_id", "shard", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def hybrid_scores(matched: DataFrame, posts: DataFrame, shards: DataFrame, champions: DataFrame, config: IndexConfig, max_df: int | None = None, boosts: Sequence[float] | None = None) -> DataFrame:
+def hybrid_scores(matched: DataFrame, posts: DataFrame, shards: DataFrame, champions: DataFrame, config: IndexConfig, max_df: int | None = None, boosts: Sequence[float] | None = None, few: bool = False) -> DataFrame:
     """Scores of candidates only.
 
     Per query and shard, the documents of low-df terms (of df <= max_df) are the candidates.
     Where there are none, the champions of the high-df term of smallest df are, ties going to
     the first field, then the first position.  High-df terms then add to candidates alone,
     each occurrence once, and max_df does not concern them.
+
+    With few candidates, of a number the caller has checked, they are sent to the postings of
+    high-df terms, which are filtered before they are scored.  Without, all parts are summed in
+    one pass, and a document counts if one of its parts makes it a candidate.
     """
     low = matched.where("NOT is_high_df")
     if max_df is not None:
         low = low.where(F.col("df") <= max_df)
     high = matched.where("is_high_df")
-    low_parts = contributions(low, posts, shards, config, boosts)
-    by_low = low_parts.select("query_id", "shard", "doc_id").distinct()
-    seeded = high.join(by_low.select("query_id", "shard").distinct(), ["query_id", "shard"], "left_anti")
+    # every matched term has a posting, so a low-df term alone tells that there are candidates
+    seeded = high.join(low.select("query_id", "shard").distinct(), ["query_id", "shard"], "left_anti")
     order = W.partitionBy("query_id", "shard").orderBy("df", "field", "position")
     seed = seeded.withColumn("r", F.row_number().over(order)).where("r = 1").select("query_id", *KEYS)
-    by_seed = seed.join(champions, KEYS).select("query_id", "shard", "doc_id")
-    candidates = by_low.unionByName(by_seed)
-    high_parts = contributions(high, posts, shards, config, boosts).join(candidates, ["query_id", "shard", "doc_id"], "left_semi")
-    return low_parts.unionByName(high_parts).groupBy("query_id", "shard", "doc_id").agg(F.sum("part").alias("score"))
+    by_seed = seed.join(champions, KEYS).select("query_id", "shard", "doc_id", F.lit(0.0).alias("part"))
+    by_low = contributions(low, posts, shards, config, boosts)
+    key = ["query_id", "shard", "doc_id"]
+    candidates = by_low.unionByName(by_seed).groupBy(*key).agg(F.sum("part").alias("part"))
+    if few:
+        near = F.broadcast(candidates.select("shard", "doc_id").distinct())
+        high_parts = contributions(high, posts.join(near, ["shard", "doc_id"], "left_semi"), shards, config, boosts)
+        high_parts = high_parts.join(F.broadcast(candidates.select(*key)), key, "left_semi")
+        return candidates.unionByName(high_parts).groupBy(*key).agg(F.sum("part").alias("score"))
+    high_parts = contributions(high, posts, shards, config, boosts)
+    every = candidates.withColumn("is_candidate", F.lit(True)).unionByName(high_parts.withColumn("is_candidate", F.lit(False)))
+    return every.groupBy(*key).agg(F.sum("part").alias("score"), F.max("is_candidate").alias("is_candidate")).where("is_candidate").drop("is_candidate")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

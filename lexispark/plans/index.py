@@ -7,6 +7,7 @@ import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,10 @@ from ..functions.text import query_tokens, tokens
 from ..operators import build, search
 from ..operators.build import IndexConfig
 from ..sources import from_documents, read_corpus
-from ..storage import shared_path
+from ..storage import shared_path, stored
 
 TABLES = ("corpus", "postings", "doc_stats", "term_stats", "shard_stats", "champions")
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, RECORD_KEYS = 100_000, 1000
 
 
 class SearchIndex:
@@ -56,21 +57,23 @@ class SearchIndex:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.parquet(f"{path}/{name}")
 
-        kept = put("corpus", build.with_shards(corpus.drop("shard"), config))
+        kept = put("corpus", build.with_shards(corpus.drop("shard"), config).sortWithinPartitions("doc_id"))
         lengths = put("doc_stats", build.document_lengths(kept, fields, config))
         shards = put("shard_stats", build.shard_statistics(lengths, config))
-        ranged = build.postings(kept, fields, config).repartitionByRange("shard", "field", "term", "doc_id")
+        # counted once: finding the ranges reads the counts a second time
+        ranged = stored(build.postings(kept, fields, config)).repartitionByRange("shard", "field", "term", "doc_id")
         posts = put("postings", ranged.sortWithinPartitions("shard", "field", "term", "doc_id"))
-        terms = put("term_stats", build.term_statistics(posts, shards))
-        put("champions", build.champion_lists(posts, terms, config.champion_size))
+        by_term = lambda df, *more: df.repartitionByRange("term", "field", "shard").sortWithinPartitions("term", "field", "shard", *more)
+        terms = put("term_stats", by_term(stored(build.term_statistics(posts, shards))))
+        put("champions", by_term(stored(build.champion_lists(posts, terms, config.champion_size)), "rank"))
         about = {"fields": list(fields), "config": {f.name: getattr(config, f.name) for f in dataclasses.fields(config) if f.init}}
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
         return cls(spark, path, fields, config)
 
     @classmethod
-    def index_file(cls, spark: SparkSession, path: str, fields: Sequence[str], config: IndexConfig = IndexConfig(), key: str | None = None, **where: Any) -> SearchIndex:
-        """Index a .csv, .json / .jsonl or .parquet path."""
-        return cls.build(read_corpus(spark, path, fields, key), fields, config, **where)
+    def index_file(cls, spark: SparkSession, path: str, fields: Sequence[str], config: IndexConfig = IndexConfig(), key: str | None = None, multiline: bool = True, **where: Any) -> SearchIndex:
+        """Index a .csv, .json / .jsonl or .parquet path; a CSV file without line breaks in its cells can be split with multiline=False."""
+        return cls.build(read_corpus(spark, path, fields, key, multiline=multiline), fields, config, **where)
 
     @classmethod
     def index_documents(cls, spark: SparkSession, documents: Any, config: IndexConfig = IndexConfig(), **where: Any) -> SearchIndex:
@@ -91,7 +94,9 @@ class SearchIndex:
     def load(cls, spark: SparkSession, path: str) -> SearchIndex:
         try:
             row = spark.read.parquet(f"{path}/metadata").first()
-        except Exception as error:
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             raise RuntimeError(f"no index at {path}") from error
         about = json.loads(row["about"])
         stop = about["config"]["stopwords"]
@@ -139,12 +144,21 @@ class SearchIndex:
         posts, terms = self.postings, self.term_stats
         if literal is not None:  # the terms reach the Parquet scans as a filter
             posts, terms = posts.where(F.col("term").isin(literal)), terms.where(F.col("term").isin(literal))
+        if mode not in ("exact", "hybrid"):
+            raise ValueError(f"mode is 'exact' or 'hybrid', not {mode!r}")
         matched = search.match_terms(wanted, terms)
+        if literal is not None and mode == "exact":
+            return search.exact_scores(matched, posts, self.shard_stats, self.config, max_df, boosts)
+        is_low = ~F.col("is_high_df") if max_df is None else ~F.col("is_high_df") & (F.col("df") <= max_df)
+        if literal is None:
+            matched = stored(matched)
+        n_terms, n_low, n_lists = matched.agg(F.count("*"), F.coalesce(F.sum(F.when(is_low, F.col("df"))), F.lit(0)), F.count_distinct("query_id", "shard")).first()
+        if n_terms <= BROADCAST_ROWS:  # the postings of a frequent term stay where they are
+            matched = F.broadcast(matched)
         if mode == "exact":
             return search.exact_scores(matched, posts, self.shard_stats, self.config, max_df, boosts)
-        if mode == "hybrid":
-            return search.hybrid_scores(matched, posts, self.shard_stats, self.champions, self.config, max_df, boosts)
-        raise ValueError(f"mode is 'exact' or 'hybrid', not {mode!r}")
+        few = n_low + self.config.champion_size * n_lists <= BROADCAST_ROWS
+        return search.hybrid_scores(matched, posts, self.shard_stats, self.champions, self.config, max_df, boosts, few)
 
     def search(
         self,
@@ -174,11 +188,20 @@ class SearchIndex:
         return found
 
     def search_records(self, query: str | Sequence[str] | Mapping[str, str] | None, **options: Any) -> DataFrame:
-        """The columns of the source of the k best documents, with score, best first."""
+        """The columns of the source of the k best documents, with score, best first.
+
+        Up to RECORD_KEYS results are looked up by a filter on doc_id, which the scan of the corpus
+        prunes by; more are joined.
+        """
         found = self.search(query, **options)
+        corpus = self.corpus.drop("shard", "score")
+        if options.get("k", 10) <= RECORD_KEYS:
+            rows = [tuple(r) for r in found.collect()]
+            found = self.spark.createDataFrame(rows, "doc_id long, score double")
+            corpus = corpus.where(F.col("doc_id").isin([r[0] for r in rows]))
         if options.get("k", 10) <= BROADCAST_ROWS:  # at most k rows
             found = F.broadcast(found)
-        joined = self.corpus.drop("shard", "score").join(found, "doc_id")
+        joined = corpus.join(found, "doc_id")
         return joined.orderBy(F.desc("score"), "doc_id")
 
     def query_terms(self, queries: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ TEXT = ["text"]
 PART = ["p_name", "p_brand", "p_type"]
 _ENGLISH = IndexConfig(stopwords="english")
 _SHARDED = IndexConfig(num_shards=4)
+_UNICODE = IndexConfig(fold="unicode")
 _built: dict[tuple, SearchIndex] = {}
 
 
@@ -298,9 +299,46 @@ def save_load_topk(spark, sf_dir):
     return SearchIndex.load(spark, path).search("the thereed erthth and reed erstre", k=20)
 
 
+#: In-memory documents: strings, rows of two fields, and dicts, as a caller would hold them.
+_SONGS = ["The red moon", "a blue moon over the sea", "red red sun", "the sea the sea the sea", "", "moon , moon", "Straight to the red sea", "a sun of the moon", "rain on the road"]
+
+
 def memory_docs_topk(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").toPandas()  # in-memory input is what this query is about
-    return SearchIndex.index_documents(spark, rows["text"].tolist()).search("the thention reed", k=20, mode="exact")
+    return SearchIndex.index_documents(spark, list(_SONGS)).search("the red moon sea", k=20, mode="exact")
+
+
+def memory_rows_topk(spark, sf_dir):
+    rows = [(t, f"band {k % 3}") for k, t in enumerate(_SONGS)]
+    return SearchIndex.index_documents(spark, rows).search({"c0": "moon sea", "c1": "2"}, k=20, mode="exact", boosts={"c0": 2.0})
+
+
+def memory_dicts_topk(spark, sf_dir):
+    rows = [{"title": t, "artist": f"band {k % 3}"} for k, t in enumerate(_SONGS)]
+    return SearchIndex.index_documents(spark, rows).search({"title": "moon sea", "artist": "2"}, k=20, mode="exact", boosts={"title": 2.0})
+
+
+def parquet_topk(spark, sf_dir):
+    return SearchIndex.index_file(spark, f"{sf_dir}/documents.parquet", TEXT, key="doc_id").search("the Thention reed erblest", k=20, mode="exact")
+
+
+def parquet_records(spark, sf_dir):
+    """The records of an indexed Parquet file, in the order of the index's columns."""
+    index = SearchIndex.index_file(spark, f"{sf_dir}/documents.parquet", TEXT, key="doc_id")
+    found = index.search_records("the Thention reed erblest", k=20, mode="exact")
+    return found.select("doc_id", *index.columns())
+
+
+def unicode_fold_topk(spark, sf_dir):
+    return _index(spark, sf_dir, config=_UNICODE).search("étre ÉCHÊ que de", k=20, mode="exact")
+
+
+def bloom_probe(spark, sf_dir):
+    """Documents that the Bloom filters of part's index let through for each high-df term, at 1 %: all of its own, and few others."""
+    index = _index(spark, sf_dir, PART)
+    filters = build.bloom_filters(index.postings, index.term_stats, 0.01)
+    probes = index.postings.join(index.term_stats.where("is_high_df").select("shard", "field", "term"), ["shard", "field", "term"], "left_semi")
+    found = build.bloom_matches(probes.select("shard", "field", "term", "doc_id"), filters, 0.01)
+    return found.groupBy("shard", "field", "term").agg(F.countDistinct("doc_id").alias("n_found"))
 
 
 def stream_static(spark, sf_dir):
@@ -320,14 +358,25 @@ QUERIES = {
         shard_stats, idf_table, high_df_terms, champion_lists, tf_histogram, bloom_params, bloom_filters, bloom_filters_documents, vocabulary, index_report,
         posting_gaps, tf_runs, okapi_exact_topk, okapi_repeated_term, okapi_max_df, okapi_stopwords, okapi_hybrid_low,
         okapi_hybrid_all_high, okapi_boosted, okapi_fielded, okapi_hybrid_fielded, okapi_sharded_topk, auto_widen, topk_records,
-        topk_quality, okapi_batch, okapi_batch_hybrid, csv_roundtrip, json_roundtrip, save_load_topk, memory_docs_topk, stream_static,
+        topk_quality, okapi_batch, okapi_batch_hybrid, csv_roundtrip, json_roundtrip, save_load_topk, memory_docs_topk, memory_rows_topk, memory_dicts_topk,
+        parquet_topk, parquet_records, unicode_fold_topk, bloom_probe, stream_static,
     )
 }
 
 _FLAG = _free("THE THENTION REED ERBLEST")
 _LOWQ = f"{_asked(_free('THE THEREED ERTHTH AND REED ERSTRE'))}"
 _BENCH = f"asked AS (SELECT item_id AS query_id, i AS position, NULL::INTEGER AS qfield, w[i] AS term FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, list_filter(string_split(translate(replace(text, chr(10), ' '), '{_LOWER}', '{_UPPER}'), ' '), lambda x : x <> '') AS w FROM benchmark)))"
-_MEMORY = _base().replace("FROM documents)", "FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, text FROM benchmark))", 1)
+_VALUES = ", ".join(f"({k}::BIGINT, '{t}', 'band {k % 3}')" for k, t in enumerate(_SONGS))
+
+
+def _memory(fields: list[str]) -> str:
+    """The CTEs of an index over the in-memory documents."""
+    base = _base(fields)
+    table, key = ("documents", "doc_id") if fields == TEXT else ("part", "p_partkey")
+    return base.replace(f"{key} AS doc_id", "doc_id").replace(f"EXCLUDE ({key}) FROM {table}", f"EXCLUDE (doc_id) FROM (VALUES {_VALUES}) AS v(doc_id, {'text, artist' if fields == TEXT else 'title, artist'})")
+
+
+_TWO = [(0, "MOON"), (0, "SEA"), (1, "2")]
 
 ORACLES = {
     "tokenize": f"WITH {_base()} SELECT doc_id, term, count(*) AS n FROM tokens GROUP BY ALL",
@@ -379,6 +428,12 @@ SELECT shard, field, term, tf, num_bits, 27::INTEGER AS num_hashes, count(DISTIN
     "csv_roundtrip": _exact(_FLAG, 20),
     "json_roundtrip": _exact(_FLAG, 20),
     "save_load_topk": _hybrid(_LOWQ, 20),
-    "memory_docs_topk": f"WITH {_asked(_free('THE THENTION REED'))}, {_MEMORY}, {_MATCHED}, {_parts()} {_top('parts', 20)}",
+    "memory_docs_topk": f"WITH {_asked(_free('THE RED MOON SEA'))}, {_memory(TEXT)}, {_MATCHED}, {_parts()} {_top('parts', 20)}",
+    "memory_rows_topk": f"WITH {_asked(_TWO)}, {_memory(['title', 'artist'])}, {_MATCHED}, {_parts('[2.0, 1.0][m.field + 1]')} {_top('parts', 20)}",
+    "memory_dicts_topk": f"WITH {_asked([(1, 'MOON'), (1, 'SEA'), (0, '2')])}, {_memory(['artist', 'title'])}, {_MATCHED}, {_parts('[1.0, 2.0][m.field + 1]')} {_top('parts', 20)}",
+    "parquet_topk": _exact(_FLAG, 20),
+    "parquet_records": f"SELECT d.doc_id, text, lang, source, n_chars, score FROM ({_exact(_FLAG, 20)}) t JOIN documents d ON d.doc_id = t.doc_id",
+    "unicode_fold_topk": _exact(_free("ÉTRE ÉCHÊ QUE DE"), 20).replace(f"translate(replace(coalesce(text, ''), chr(10), ' '), '{_LOWER}', '{_UPPER}')", "upper(replace(coalesce(text, ''), chr(10), ' '))"),
+    "bloom_probe": f"WITH {_base(PART)} SELECT shard, field, term, df AS n_found FROM terms WHERE is_high_df",
     "stream_static": f"WITH {_BENCH}, {_base()}, {_MATCHED}, {_parts()} {_top('parts', 10, True)}",
 }

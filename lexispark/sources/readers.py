@@ -36,16 +36,17 @@ def _check(found: Sequence[str], wanted: Sequence[str]) -> None:
         raise ValueError(f"no such columns: {', '.join(missing)}")
 
 
-def read_corpus(spark: SparkSession, path: str, fields: Sequence[str] = (), key: str | None = None, schema: str | T.StructType | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, fields: Sequence[str] = (), key: str | None = None, schema: str | T.StructType | None = None, multiline: bool = True) -> DataFrame:
     """The rows of a .csv, .json / .jsonl or .parquet path; all of CSV is read as strings.
 
-    CSV follows RFC 4180: a header, quoted cells with doubled quotes and line breaks inside.
+    CSV follows RFC 4180: a header, quoted cells with doubled quotes and line breaks inside.  A
+    file of such is one task; with multiline=False no cell has a line break and files are split.
     JSON has an object a line, every field into its own column.  With key, that column is
     doc_id; without, rows are numbered.  All of ``fields`` must exist, in any case of letters.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        df = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"').csv(path)
     elif kind in ("json", "jsonl", "ndjson"):
         df = (spark.read.schema(schema) if schema else spark.read.option("primitivesAsString", True)).json(path)
     elif kind == "parquet":
@@ -67,10 +68,10 @@ def from_documents(spark: SparkSession, documents: Any) -> DataFrame:
     if isinstance(documents, DataFrame):
         return documents if "doc_id" in documents.columns else with_ordinal(documents)
     if hasattr(documents, "to_frame") and not hasattr(documents, "columns"):
-        documents = [None if x is None or x != x else x for x in documents.tolist()]
+        documents = [None if x is None or x != x else x for x in (documents.tolist() if hasattr(documents, "tolist") else documents.to_list())]
     elif hasattr(documents, "to_pandas"):
-        documents = documents.to_pandas().to_dict("records")
-    elif hasattr(documents, "to_dict") and hasattr(documents, "columns"):
+        documents = documents.to_pandas()
+    if hasattr(documents, "itertuples"):
         names = [str(c) for c in documents.columns]
         rows = [[None if x is None or x != x else str(x) for x in row] for row in documents.itertuples(index=False)]
         return _frame(spark, rows, names)

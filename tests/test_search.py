@@ -293,3 +293,65 @@ def test_query_plan_prunes(exact):
     plan = exact.search("quick fox", mode="exact")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [FOX,QUICK])" in plan.replace("IsNotNull(term), ", "") or "In(term, [FOX,QUICK])" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_gaps_and_runs_across_ranges(spark):
+    """Lists that are cut into ranges of doc_id give the same as whole ones."""
+    posts = spark.createDataFrame([(0, 0, t, d, 1 + d // 7 % 3) for t in ("A", "B") for d in range(3, 200, 2 + len(t))], "shard int, field int, term string, doc_id long, tf int")
+    for f in (build.posting_gaps, build.tf_runs):
+        assert sorted(map(tuple, f(posts, 10).collect())) == sorted(map(tuple, f(posts).collect()))
+
+
+def test_shards_of_sparse_keys(spark):
+    corpus = spark.createDataFrame([(k, "a b") for k in (-50, 7, 10**12, 3, 99, 100, 101, 5)], "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in build.with_shards(corpus, IndexConfig(num_shards=4)).collect()}
+    assert got == {-50: 0, 3: 0, 5: 1, 7: 1, 99: 2, 100: 2, 101: 3, 10**12: 3}
+
+
+def test_scans_are_pruned(spark):
+    """Terms and doc_ids reach the Parquet scans as filters."""
+    corpus = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("red "), F.col("id").cast("string")).alias("text"))
+    index = SearchIndex.build(corpus, ["text"])
+    plan = index.search_records("red", k=3, mode="exact")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "In(doc_id, [" in plan
+    matched = index.search("red 7", mode="exact")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert matched.count("In(term, [7,RED])") >= 2
+
+
+def test_csv_without_line_breaks_can_be_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,n\n"x, y",1\nz,2\n')
+    rows = [read_corpus(spark, str(tmp_path / "a.csv"), multiline=m).select("title", "n").collect() for m in (True, False)]
+    assert rows[0] == rows[1] and [r.title for r in rows[0]] == ["x, y", "z"]
+
+
+def test_series_and_frames_of_other_libraries(spark):
+    """Anything with to_list and to_frame is a series, anything with to_pandas a frame whose columns keep their order."""
+    class Series:
+        def to_list(self):
+            return ["b", None, "a"]
+
+        def to_frame(self):
+            raise NotImplementedError
+
+    class Frame:
+        columns = ["z", "a"]
+
+        def to_pandas(self):
+            return pd.DataFrame({"z": ["1", "2"], "a": ["3", None]})
+
+    assert [r.c0 for r in from_documents(spark, Series()).orderBy("doc_id").collect()] == ["b", "", "a"]
+    out = from_documents(spark, Frame())
+    assert out.columns == ["doc_id", "z", "a"] and [tuple(r) for r in out.orderBy("doc_id").collect()] == [(0, "1", "3"), (1, "2", "")]
+
+
+def test_hybrid_is_the_same_with_few_and_many_candidates(spark, monkeypatch):
+    from lexispark.plans import index as module
+
+    corpus = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the of"), (F.col("id") % 50).cast("string"), F.repeat(F.lit("the "), (F.col("id") % 7).cast("int"))).alias("text"))
+    index = SearchIndex.build(corpus, ["text"], IndexConfig(high_df_threshold=0.1))
+    asked = spark.createDataFrame([(1, "the 7 of"), (2, "the of"), (3, "9 9 of"), (4, "none")], "query_id long, text string")
+    rows = [sorted(map(tuple, index.search_batch(asked, 20).collect()))]
+    single = [tuple(r) for r in index.search("the 7 of").collect()]
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    rows.append(sorted(map(tuple, index.search_batch(asked, 20).collect())))
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == {1, 2, 3} and single == [tuple(r) for r in index.search("the 7 of").collect()]
