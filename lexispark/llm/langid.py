@@ -99,8 +99,9 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
     # at most MAX_LANGUAGES rows, so they can come to every task
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     spot = unit_hash("doc_id", "text", seed="fold")
-    picked = rows.join(F.broadcast(common), "lang").where(unit_hash("doc_id", "text", seed="langid") * F.col("n") < per_language)
-    picked = picked.select("lang", "text", spot.alias("spot")).dropDuplicates(["lang", "spot"]).limit(MAX_SAMPLE)
+    least = min(per_language, MAX_SAMPLE / max(1, common.count()))
+    picked = rows.join(F.broadcast(common), "lang").where(unit_hash("doc_id", "text", seed="langid") * F.col("n") < least)
+    picked = picked.select("lang", "text", spot.alias("spot")).dropDuplicates(["lang", "spot"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

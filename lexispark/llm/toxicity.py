@@ -177,7 +177,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
     if total == 0:
         return learn_toxicity([], np.zeros(0))
     chance = min(1.0, max_sample / total, max_bytes / max(1, n_bytes))
-    picked = marks.where(unit_hash("id", seed="toxicity") < chance)
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(unit_hash("doc_id", "text", seed="toxicity") < chance)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
                 found += [pair[a:b] & ((1 << FEATURE_BITS) - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "ids"])
 
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"]).limit(2 * max_sample)
+    sample = picked.join(marks, F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"])
     rows = sample.mapInArrow(rows_of, "doc_id long, toxic int, ids array<int>").toArrow().to_pandas()
     rows = rows.assign(n=rows["ids"].map(len)).sort_values(["doc_id", "n"])
     toxic = (rows["toxic"].to_numpy() > 0).astype(float)
