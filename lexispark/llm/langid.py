@@ -5,6 +5,9 @@ learned from a sample of at most about ``MAX_PER_LANGUAGE`` whole texts of each
 ``MAX_LANGUAGES`` commonest languages, drawn by hash, with follow-the-regularised-leader steps
 and an elastic-net penalty; a part of the sample is held back to calibrate the temperature of the
 scores.
+
+A softmax over the learned languages is sure of itself on text of none of them, so the filter also
+looks at how rare a text's n-grams are among the learnable rows (see LanguageModel.rarity).
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ MAX_PER_LANGUAGE, MAX_LANGUAGES, MAX_SAMPLE = 400, 256, 20_000
 EPOCHS = 4
 #: A document is kept when its score is so many times that of a guess among the languages (see least_score).
 LEAST_LIFT = 1.1
+#: A document goes when its n-grams are, on logarithmic average, over e ** RARITY_MARGIN times rarer than those of 99 in 100
+#: texts of the sample; every text is read with RARITY_PRIOR further n-grams of the sample's average, so that a few say little.
+RARITY_MARGIN, RARITY_PRIOR = 2.0, 30
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint32(0x9E3779B1)
@@ -51,6 +57,11 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
+def rarity(counts: np.ndarray, idf: np.ndarray) -> float:
+    """The average inverse document frequency of all n-grams of a text."""
+    return float(counts @ idf) / max(1, int(counts.sum()))
+
+
 def vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The non-zero buckets and their TF-IDF values (1 + log tf), of unit length."""
     at = np.flatnonzero(counts)
@@ -64,15 +75,22 @@ class LanguageModel:
     idf: np.ndarray
     weights: np.ndarray  # (BUCKETS + 1, languages): the last row is the intercept
     temperature: float
+    usual: float = 0.0  # the rarity of a text of the sample, on average
+    rarest: float = np.inf  # and the most that a text of a known language has
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its calibrated probability; UNKNOWN and 0 without a letter."""
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """The likeliest language, its calibrated probability, and whether the text is like the learned ones; UNKNOWN, 0 and False without a letter."""
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        at, v = vector(gram_counts(text), self.idf)
+            return UNKNOWN, 0.0, False
+        counts = gram_counts(text)
+        at, v = vector(counts, self.idf)
         p = softmax((v @ self.weights[at] + self.weights[-1]) / self.temperature)
-        k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        k, n = int(p.argmax()), int(counts.sum())
+        shrunk = (n * rarity(counts, self.idf) + RARITY_PRIOR * self.usual) / (n + RARITY_PRIOR)
+        return self.languages[k], float(p[k]), shrunk <= self.rarest
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,13 +123,14 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(gram_counts(t.as_py()), idf) for t in batch.column("text")]
+            counts = [gram_counts(t.as_py()) for t in batch.column("text")]
+            found = [vector(c, idf) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())), batch.column("spot")],
-                ["lang", "at", "v", "spot"],
+                [batch.column("lang"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())), batch.column("spot"), pa.array([rarity(c, idf) for c in counts], pa.float64())],
+                ["lang", "at", "v", "spot", "rarity"],
             )
 
-    sample = picked.mapInArrow(features, "lang string, at array<int>, v array<float>, spot double")
+    sample = picked.mapInArrow(features, "lang string, at array<int>, v array<float>, spot double, rarity double")
     sample = sample.toArrow().to_pandas().sort_values(["spot", "lang"]).reset_index(drop=True)
     languages = sorted(sample["lang"].unique())
     if not languages:
@@ -130,15 +149,16 @@ def fit_language_model(docs: DataFrame, may_learn: Column, per_language: int = M
             model.step(ids[k], values[k][:, None] * p, w)
     w = model.weights()
     logits = np.array([values[k] @ w[ids[k]] for k in np.flatnonzero(held)]).reshape(-1, len(languages))
-    return LanguageModel([str(x) for x in languages], idf, w, temperature(logits, truth[held]))
+    rare = sample["rarity"].to_numpy()
+    return LanguageModel([str(x) for x in languages], idf, w, temperature(logits, truth[held]), float(rare.mean()), float(np.quantile(rare, 0.99)) + RARITY_MARGIN)
 
 
 def prediction(model: LanguageModel) -> Column:
-    """A struct of lang_pred and score from the whole of column text."""
+    """A struct of lang_pred, score and like_learned from the whole of column text."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, like_learned boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([model.judge(t) for t in texts], columns=["lang_pred", "score", "like_learned"])
 
     return predict(F.col("text").cast("string"))
 
@@ -168,12 +188,13 @@ def least_score(languages: int, lift: float = LEAST_LIFT) -> float:
 
 
 def keep_known_languages(docs: DataFrame, lift: float = LEAST_LIFT) -> DataFrame:
-    """docs without those whose language is unknown or scored under least_score; same columns.
+    """docs without those whose language is unknown, scored under least_score, or unlike the learned ones; same columns.
 
-    Short texts are scored low without being wrong, so the bar is low.  Where one language was
-    learned, its score is always 1 and every text with a letter stays; where nothing could be
-    learned, every language is unknown and no row stays.
+    Short texts are scored low without being wrong, so the bar is low; text in a script or of letters
+    that were not learned goes for its rare n-grams.  Where one language was learned, its score is
+    always 1 and only rarity tells; where nothing could be learned, every language is unknown and no
+    row stays.  A language that shares most of its n-grams with a learned one is taken for it.
     """
     model = fit_language_model(docs, F.col("doc_id").isNotNull() & ~_held_out())
     found = docs.withColumn("__p", prediction(model))
-    return found.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least_score(len(model.languages), lift))).select(*docs.columns)
+    return found.where((F.col("__p.lang_pred") != UNKNOWN) & F.col("__p.like_learned") & (F.col("__p.score") >= least_score(len(model.languages), lift))).select(*docs.columns)

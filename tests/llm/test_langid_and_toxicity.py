@@ -55,6 +55,14 @@ def test_one_language_stays(spark):
     assert least_score(1) == 1.0 and abs(least_score(4) - 1.1 / 4) < 1e-12 and all(least_score(n, 5) < 1 for n in range(2, 9))
 
 
+def test_texts_unlike_all_learned_ones_go(spark):
+    known = corpus(6, 300)
+    strange = ["это предложение никто не учил и оно не похоже ни на что", "这是一个没有学过的语言的文本应该被拒绝因为它不像任何语言", "xqzv jkwq zzxv qqjk wvxz kqjz vxqj zkwx qvjz xxkq"]
+    rows = known + [(1000 + i, t * 3, None, "s") for i, t in enumerate(strange)] + [(2000, "the", "en", "s"), (2001, "rue 7", "fr", "s")]
+    out = {r.doc_id for r in keep_known_languages(docs(spark, rows)).collect()}
+    assert out == {r[0] for r in known} | {2000, 2001}
+
+
 def test_numerals_are_no_letters():
     assert not any(has_letter(t) for t in (None, "", "½ ²", "Ⅷ 12", "_", "٣")) and all(has_letter(t) for t in ("½ a", "ª", "日", "ß"))
 
